@@ -23,6 +23,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents by source weights."""
+    from fieldloom.llm.mixing import mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and robust outliers per language and source over every whole text."""
     from fieldloom.llm.quality_rules import quality_digest
@@ -31,7 +39,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op10_quality_rules": op10_quality_rules}
+    return {"op1_token_counts": op1_token_counts, "op3_mixing": op3_mixing, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
