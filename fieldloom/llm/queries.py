@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldloom.llm.common import table
+from fieldloom.llm.common import crc_mod, cut, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,28 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all texts, learned from the documents that are not held out."""
+    from fieldloom.llm.language_id import fit, identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    held_out = crc_mod("doc_id", 5) == 0
+    model = fit(docs, ~held_out)
+    return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all texts, learned from the labels that are not held out."""
+    from fieldloom.llm.quality_classifier import FEATURES, classify, features, fit
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = cut(features(docs).select("doc_id", *FEATURES))
+    held_out = crc_mod("doc_id", 4) == 2
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).filter(~held_out)
+    model = fit(rows.join(labels, "doc_id"))
+    return classify(rows, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and robust outliers per language and source over every whole text."""
     from fieldloom.llm.quality_rules import quality_digest
@@ -39,7 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op3_mixing": op3_mixing, "op10_quality_rules": op10_quality_rules}
+    return {"op1_token_counts": op1_token_counts, "op3_mixing": op3_mixing, "op4_language_id": op4_language_id, "op5_quality_classifier": op5_quality_classifier, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
