@@ -85,6 +85,18 @@ FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 """
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages: rules, and where none fits the host's reputation.
+
+    The outcomes that the reputation learns from are weak labels of the pages' own html.
+    """
+    from fieldloom.llm.url_filters import filter_urls, page_outcome
+
+    pages = table(spark, sf_dir, "pages")
+    outcomes = pages.select(F.col("url").alias("__url"), page_outcome(F.col("html"), F.col("url")).alias("good"))
+    return filter_urls(pages.select("page_id", "url"), outcomes)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and robust outliers per language and source over every whole text."""
     from fieldloom.llm.quality_rules import quality_digest
@@ -93,7 +105,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op3_mixing": op3_mixing, "op4_language_id": op4_language_id, "op5_quality_classifier": op5_quality_classifier, "op8_decontamination": op8_decontamination, "op10_quality_rules": op10_quality_rules}
+    return {"op1_token_counts": op1_token_counts, "op3_mixing": op3_mixing, "op4_language_id": op4_language_id, "op5_quality_classifier": op5_quality_classifier, "op8_decontamination": op8_decontamination, "op9_url_filters": op9_url_filters, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
