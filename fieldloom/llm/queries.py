@@ -63,6 +63,38 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents by two-word shingles."""
+    from fieldloom.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 1), ' ') AS s
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), f AS (SELECT s, count(*) AS f FROM s GROUP BY s
+), r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY f, s) AS k FROM s JOIN f USING (s)
+), p AS (
+  SELECT DISTINCT a.doc_id AS a, b.doc_id AS b
+  FROM (SELECT r.* FROM r JOIN n USING (doc_id) WHERE k <= n - ceil(0.8 * n) + 1) a
+  JOIN (SELECT r.* FROM r JOIN n USING (doc_id) WHERE k <= n - ceil(0.8 * n) + 1) b ON a.s = b.s AND a.doc_id < b.doc_id
+), e AS (
+  SELECT p.a, p.b FROM p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b AND y.s = x.s
+  JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b
+  GROUP BY p.a, p.b, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))
+), t AS (SELECT a, b FROM e UNION SELECT b, a FROM e
+), g AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT g.x, t.b FROM g JOIN t ON t.a = g.y
+), c AS (SELECT x AS doc_id, min(y) AS component_id FROM g GROUP BY x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM c LEFT JOIN n USING (doc_id)
+"""
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in all whole texts."""
     from fieldloom.llm.decontamination import decontaminate
@@ -114,8 +146,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op3_mixing": op3_mixing, "op4_language_id": op4_language_id, "op5_quality_classifier": op5_quality_classifier, "op6_pii": op6_pii, "op8_decontamination": op8_decontamination, "op9_url_filters": op9_url_filters, "op10_quality_rules": op10_quality_rules}
+    return {"op1_token_counts": op1_token_counts, "op3_mixing": op3_mixing, "op4_language_id": op4_language_id, "op5_quality_classifier": op5_quality_classifier, "op6_pii": op6_pii, "op7_near_dedup": op7_near_dedup, "op8_decontamination": op8_decontamination, "op9_url_filters": op9_url_filters, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": OP8_SQL}
+    return {"op7_near_dedup": OP7_SQL, "op8_decontamination": OP8_SQL}
