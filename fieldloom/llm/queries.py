@@ -24,6 +24,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PPM and unigram scores of all texts, learned from those that are not held out."""
+    from fieldloom.llm.lm_scoring import Model, score, trained_on
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = Model(docs.filter(trained_on()))
+    return score(docs.select("doc_id", (~trained_on()).alias("held_out"), "text"), model)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents by source weights."""
     from fieldloom.llm.mixing import mix
@@ -146,7 +155,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op3_mixing": op3_mixing, "op4_language_id": op4_language_id, "op5_quality_classifier": op5_quality_classifier, "op6_pii": op6_pii, "op7_near_dedup": op7_near_dedup, "op8_decontamination": op8_decontamination, "op9_url_filters": op9_url_filters, "op10_quality_rules": op10_quality_rules}
+    return {"op1_token_counts": op1_token_counts, "op2_lm_scoring": op2_lm_scoring, "op3_mixing": op3_mixing, "op4_language_id": op4_language_id, "op5_quality_classifier": op5_quality_classifier, "op6_pii": op6_pii, "op7_near_dedup": op7_near_dedup, "op8_decontamination": op8_decontamination, "op9_url_filters": op9_url_filters, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
