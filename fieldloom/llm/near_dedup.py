@@ -8,14 +8,15 @@ whole set, rather than a share of it, so that short documents leave no register
 1. Documents with equal sets form classes; only the smallest id of a class goes on.
 2. Bands of registers are hashed to keys; a key that two classes share makes them meet.
    At a similarity of 0.8 a pair is missed by all bands with a chance of 5e-8.
-3. Stars: of all classes with a key, the smallest id is paired with the others.  Pairs
-   pass a bound on sizes and the collision-corrected estimate of the similarity (seven
-   deviations below the threshold, so that it costs no links), and are then verified on
-   their full sets.  The links make components.
-4. A second star with another centre joins what the first one left apart.
-5. Keys whose classes are still in different components are searched in full: every pair
-   across components that the estimate lets pass is verified.  So no link is lost, and
-   the pairs within a group of copies, which are already connected, never appear.
+3. Stars: of all classes with a key, the one that meets the most others anywhere is
+   paired with the rest.  Pairs pass a bound on sizes and the collision-corrected estimate
+   of the similarity (five deviations below the threshold, so that it costs no links),
+   and are then verified on their full sets.  The links make components.
+4. Where a key's classes are still apart, each class outside the largest component tries
+   the one with the best estimate.
+5. Keys whose classes are then still apart are searched in full, block by block: every
+   pair across components that the estimate lets pass is verified.  So no link is lost,
+   and the pairs within a group of copies, which are already connected, never appear.
 
 Every step is a join or an aggregation on ids or keys; a key or a centre that a third of
 all rows share is combined before its shuffle or split at run time.
@@ -26,7 +27,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +37,9 @@ BUCKETS, ROWS = 128, 4
 #: Bits kept after the leading one of a register's minimum.
 MANTISSA = 10
 #: Deviations below the threshold at which the estimate still lets a pair pass.
-SLACK = 7.0
+SLACK = 5.0
+#: Rows of a key's block in the search across components.
+BLOCK = 1000
 #: Elements that are hashed at once.
 CHUNK = 8192
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -140,10 +143,14 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _least_estimate(percent: int) -> float:
+    j = percent / 100
+    return j - SLACK * (j * (1 - j) / BUCKETS) ** 0.5
+
+
 def _estimated(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, na, nb, ra, rb) whose estimate comes near the threshold, as (a, b)."""
-    j = percent / 100
-    least = j - SLACK * (j * (1 - j) / BUCKETS) ** 0.5
+    least = _least_estimate(percent)
     schema = pairs.select("a", "b").schema
 
     def run(batches):
@@ -200,11 +207,90 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select(F.col("a").alias("id"), F.col("c").alias("component"))
 
 
-def _star(rows: DataFrame, order: Column) -> DataFrame:
-    """Of each key's rows, the first in order paired with those of other components."""
-    centre = rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "component")).alias("centre"))
-    met = rows.join(centre, "key").filter(F.col("component") != F.col("centre.component"))
-    return met.select(F.col("centre.id").alias("a"), F.col("id").alias("b")).distinct()
+def _star(keyed: DataFrame) -> DataFrame:
+    """Of each key's classes, the one that meets the most others paired with the rest."""
+    centre = keyed.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("low"), "id")).alias("centre"))
+    return keyed.join(centre.select("key", F.col("centre.id").alias("a")), "key").filter("a != id").select("a", F.col("id").alias("b")).distinct()
+
+
+def _apart(keyed: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of keys whose classes lie in several components, dealt into blocks.
+
+    The classes outside a key's largest component are its minor ones.  Every block of
+    minor classes meets every block of all, so that no task holds more than two blocks.
+    """
+    rows = keyed.select("key", "band", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"))
+    mixed = sizes.filter("top.c < all").select("key", F.col("top.component").alias("major"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("is"), F.ceil(F.col("all") / BLOCK).cast("int").alias("js"))
+    rows = rows.join(mixed, "key").withColumn("minor", F.col("component") != F.col("major"))
+    own = F.pmod(F.xxhash64(F.lit(5), "id"), F.col("js")).cast("int")
+    as_any = rows.select("*", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("is") - 1)).alias("i"), own.alias("j"))
+    asked = F.pmod(F.xxhash64(F.lit(6), "id"), F.col("is")).cast("int")
+    as_query = rows.filter("minor").select("*", F.lit(True).alias("query"), asked.alias("i"), F.explode(F.sequence(F.lit(0), F.col("js") - 1)).alias("j"))
+    both = as_any.unionByName(as_query).select("key", "i", "j", "query", "band", "id", "component", "minor")
+    return both.join(classes.select("id", "n", "regs"), "id")
+
+
+def _across(apart: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs across components whose sizes and estimate fit, each once.
+
+    Either each minor class's best estimate alone, or all pairs.  A pair that shares
+    several keys is taken in the first band that agrees.
+    """
+    least = _least_estimate(percent)
+    schema = T.StructType([T.StructField("a", apart.schema["id"].dataType), T.StructField("b", apart.schema["id"].dataType), T.StructField("e", T.DoubleType())])
+
+    def block(t) -> list[tuple]:
+        query, ids, comp, minor, n = (t.column(k).to_numpy(zero_copy_only=False) for k in ("query", "id", "component", "minor", "n"))
+        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        any_ = np.flatnonzero(~query)
+        band, out = t.column("band")[0].as_py(), []
+        for q in np.flatnonzero(query):
+            fits = (comp[any_] != comp[q]) & (100 * np.minimum(n[any_], n[q]) >= percent * np.maximum(n[any_], n[q]))
+            fits &= ~minor[any_] | (ids[any_] > ids[q]) | nearest  # two minor classes meet twice
+            to = any_[fits]
+            if not len(to):
+                continue
+            same = regs[to] == regs[q]
+            first = same.reshape(len(to), -1, ROWS).all(2).argmax(1) == band
+            to, agree = to[first], same[first].mean(1)
+            c = collision(n[to].astype(float), np.full(len(to), float(n[q])))
+            e = (agree - c) / (1 - c)
+            if nearest and len(to):
+                e, to = e[[k := int(e.argmax())]], to[[k]]
+            out.append((np.full(len(to), ids[q])[e >= least], ids[to][e >= least], e[e >= least]))
+        return out
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = None
+        for b in _with_end(batches):
+            if b is not None:
+                held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if held is None or not held.num_rows:
+                continue
+            keys = np.stack([held.column(k).to_numpy() for k in ("key", "i", "j")])
+            starts = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1))
+            ends = np.append(starts[1:], held.num_rows)
+            upto = len(starts) if b is None else len(starts) - 1  # the last group may go on
+            found = [x for s, e in zip(starts[:upto], ends[:upto], strict=True) for x in block(held.slice(s, e - s).combine_chunks())]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], names=["a", "b", "e"])
+            held = held.slice(starts[-1]) if b is not None else None
+
+    dealt = apart.select("key", "i", "j", "query", "band", "id", "component", "minor", "n", "regs")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    pairs = dealt.mapInArrow(run, schema)
+    if nearest:
+        pairs = pairs.groupBy("a").agg(F.max(F.struct("e", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    return pairs.select("a", "b").distinct()
+
+
+def _with_end(batches):
+    yield from batches
+    yield None
 
 
 def _with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -228,37 +314,36 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     own = sketched.filter("id is not null").join(of_set, "fp").filter("id = class").select("id", "n", "regs", "keys")
     classes = cut(own.dropDuplicates(["id"]))
 
-    keyed = classes.select("id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    keyed = classes.select("id", F.posexplode("keys").alias("band", "key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     keyed = cut(keyed.join(shared, "key"))
-    met = keyed.select("id").distinct()
-    texts = cut(ids.join(met, "id").join(classes.select("id"), "id").dropDuplicates(["id"]))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        return cut(_verified(_estimated(_with_sketches(pairs, classes), percent), texts, width, percent))
-
-    edges, found = None, None
-    for order in (F.col("id"), F.xxhash64("id")):
-        labelled = _labelled(keyed, found)
-        new = links(_star(labelled, order))
-        edges = new if edges is None else edges.unionByName(new)
-        found = components(edges)
-    apart = _labelled(keyed, found)
-    mixed = apart.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
-    apart = cut(apart.join(mixed, "key").join(classes.select("id", "n", "regs"), "id"))
-    left, right = (apart.select("key", F.col("id").alias(s), F.col("component").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("regs").alias(f"r{s}")) for s in "ab")
-    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits)
-    last = cut(_verified(_estimated(pairs, percent).distinct(), texts, width, percent))
-    if not last.isEmpty():
-        found = components(edges.unionByName(last))
+    met = keyed.groupBy("id").agg(F.sum(F.col("c") - 1).alias("met"))
+    keyed = cut(keyed.drop("c").join(met, "id"))
+    texts = cut(ids.join(met.select("id"), "id").join(classes.select("id"), "id").dropDuplicates(["id"]))
+
+    stars = _estimated(_with_sketches(_star(keyed), classes), percent)
+    edges = cut(_verified(stars, texts, width, percent))
+    for nearest in (True, False):
+        apart = _apart(keyed, components(edges), classes)
+        edges = cut(edges.unionByName(_verified(_across(apart, percent, nearest), texts, width, percent)))
+    found = components(edges)
     found = found.withColumnRenamed("id", "class")
     out = rows.join(found, "class", "left")
     component = F.coalesce("component", "class", "id")
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("id")).alias("kept")).withColumn("kept", F.coalesce("kept", F.lit(True)))
 
 
-def _labelled(keyed: DataFrame, found: DataFrame | None) -> DataFrame:
-    if found is None:
-        return keyed.withColumn("component", F.col("id"))
-    return keyed.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
+    """docs, whole rows, without the near-duplicates: of each component the smallest id stays.
+
+    Only the ids that go meet the texts.  Of rows that share an id one stays; rows without
+    an id all stay.
+    """
+    found = cut(near_duplicates(docs, text, doc_id, width, percent).select(F.col(doc_id).alias("__id"), "kept").filter("__id is not null"))
+    gone = found.filter("not kept").select("__id").distinct()
+    again = found.filter("kept").groupBy("__id").agg(F.count("*").alias("__c")).filter("__c > 1").select("__id")
+    on = F.col(doc_id) == F.col("__id")
+    once = docs.join(gone.unionByName(again), on, "left_anti")
+    if again.isEmpty():
+        return once
+    return once.unionByName(docs.join(again, on, "left_semi").dropDuplicates([doc_id]))
