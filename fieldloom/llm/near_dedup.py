@@ -13,10 +13,11 @@ whole set, rather than a share of it, so that short documents leave no register
    of the similarity (five deviations below the threshold, so that it costs no links),
    and are then verified on their full sets.  The links make components.
 4. Where a key's classes are still apart, each class outside the largest component tries
-   the one with the best estimate.
-5. Keys whose classes are then still apart are searched in full, block by block: every
-   pair across components that the estimate lets pass is verified.  So no link is lost,
-   and the pairs within a group of copies, which are already connected, never appear.
+   the one with the best estimate.  One that finds none has no link across components.
+5. Of the others, whatever is then still apart is searched in full, block by block: every
+   pair across components that the estimate lets pass is checked on small hashes of the
+   full sets, and verified.  So no link is lost, and the pairs within a group of copies,
+   which are already connected, never appear.
 
 Every step is a join or an aggregation on ids or keys; a key or a centre that a third of
 all rows share is combined before its shuffle or split at run time.
@@ -213,53 +214,87 @@ def _star(keyed: DataFrame) -> DataFrame:
     return keyed.join(centre.select("key", F.col("centre.id").alias("a")), "key").filter("a != id").select("a", F.col("id").alias("b")).distinct()
 
 
-def _apart(keyed: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+def _apart(keyed: DataFrame, found: DataFrame, asking: DataFrame | None = None) -> DataFrame:
     """Rows of keys whose classes lie in several components, dealt into blocks.
 
-    The classes outside a key's largest component are its minor ones.  Every block of
-    minor classes meets every block of all, so that no task holds more than two blocks.
+    Those that ask are the classes outside a key's largest component, or the ones given.
+    Every block of them meets every block of all, so that no task holds more than two.
     """
     rows = keyed.select("key", "band", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
-    sizes = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"))
-    mixed = sizes.filter("top.c < all").select("key", F.col("top.component").alias("major"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("is"), F.ceil(F.col("all") / BLOCK).cast("int").alias("js"))
-    rows = rows.join(mixed, "key").withColumn("minor", F.col("component") != F.col("major"))
+    if asking is not None:
+        rows = rows.join(asking.withColumn("asks", F.lit(True)), "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        asked = F.sum(F.when(F.col("asks"), 1).otherwise(0))
+    else:
+        rows, asked = rows.withColumn("asks", F.lit(False)), F.lit(0)
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("c"), asked.alias("asked"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.sum("asked").alias("asked"))
+    n = F.col("all") - F.col("top.c") if asking is None else F.col("asked")
+    mixed = sizes.filter(F.col("top.c") < F.col("all")).filter(n > 0)
+    mixed = mixed.select("key", F.col("top.component").alias("major"), F.ceil(n / BLOCK).cast("int").alias("is"), F.ceil(F.col("all") / BLOCK).cast("int").alias("js"))
+    rows = rows.join(mixed, "key")
+    if asking is None:
+        rows = rows.withColumn("asks", F.col("component") != F.col("major"))
     own = F.pmod(F.xxhash64(F.lit(5), "id"), F.col("js")).cast("int")
     as_any = rows.select("*", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("is") - 1)).alias("i"), own.alias("j"))
-    asked = F.pmod(F.xxhash64(F.lit(6), "id"), F.col("is")).cast("int")
-    as_query = rows.filter("minor").select("*", F.lit(True).alias("query"), asked.alias("i"), F.explode(F.sequence(F.lit(0), F.col("js") - 1)).alias("j"))
-    both = as_any.unionByName(as_query).select("key", "i", "j", "query", "band", "id", "component", "minor")
-    return both.join(classes.select("id", "n", "regs"), "id")
+    turn = F.pmod(F.xxhash64(F.lit(6), "id"), F.col("is")).cast("int")
+    as_query = rows.filter("asks").select("*", F.lit(True).alias("query"), turn.alias("i"), F.explode(F.sequence(F.lit(0), F.col("js") - 1)).alias("j"))
+    return as_any.unionByName(as_query).select("key", "i", "j", "query", "band", "id", "component", "asks")
+
+
+def _small_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(id, set): the low 32 bits of the hashes of full sets."""
+    schema = T.StructType([texts.schema["id"], T.StructField("set", T.BinaryType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        shingler = Shingler(width)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingler.shingles(t).astype(np.uint32).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "set"])
+
+    return texts.select("id", "text").mapInArrow(run, schema)
 
 
 def _across(apart: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs across components whose sizes and estimate fit, each once.
 
-    Either each minor class's best estimate alone, or all pairs.  A pair that shares
-    several keys is taken in the first band that agrees.
+    Either each asking class's best estimate alone, or all pairs that their sets of 32-bit
+    hashes leave possible (two elements of slack cover any clash of hashes; what passes is
+    verified on full sets).  A pair that shares several keys is taken in the first band
+    that agrees.
     """
-    least = _least_estimate(percent)
+    least, clash = _least_estimate(percent), float(collision(np.array([1e3]), np.array([1e3]))[0])
     schema = T.StructType([T.StructField("a", apart.schema["id"].dataType), T.StructField("b", apart.schema["id"].dataType), T.StructField("e", T.DoubleType())])
 
+    def possible(own: np.ndarray, others: list[bytes]) -> np.ndarray:
+        sizes = np.array([len(x) // 4 for x in others])
+        both = np.add.reduceat(np.isin(np.frombuffer(b"".join(others), np.uint32), own).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1]))) + 2
+        return 100 * both >= percent * (len(own) + sizes - both)
+
     def block(t) -> list[tuple]:
-        query, ids, comp, minor, n = (t.column(k).to_numpy(zero_copy_only=False) for k in ("query", "id", "component", "minor", "n"))
+        query, ids, comp, asks, n = (t.column(k).to_numpy(zero_copy_only=False) for k in ("query", "id", "component", "asks", "n"))
         regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        sets = None if nearest else t.column("set").to_pylist()
         any_ = np.flatnonzero(~query)
         band, out = t.column("band")[0].as_py(), []
         for q in np.flatnonzero(query):
             fits = (comp[any_] != comp[q]) & (100 * np.minimum(n[any_], n[q]) >= percent * np.maximum(n[any_], n[q]))
-            fits &= ~minor[any_] | (ids[any_] > ids[q]) | nearest  # two minor classes meet twice
+            if not nearest:  # two that both ask meet twice
+                fits &= ~asks[any_] | (ids[any_] > ids[q])
             to = any_[fits]
             if not len(to):
                 continue
             same = regs[to] == regs[q]
-            first = same.reshape(len(to), -1, ROWS).all(2).argmax(1) == band
-            to, agree = to[first], same[first].mean(1)
-            c = collision(n[to].astype(float), np.full(len(to), float(n[q])))
-            e = (agree - c) / (1 - c)
+            e = (same.mean(1) - clash) / (1 - clash)
+            good = (e >= least) & (same.reshape(len(to), -1, ROWS).all(2).argmax(1) == band)
+            to, e = to[good], e[good]
             if nearest and len(to):
                 e, to = e[[k := int(e.argmax())]], to[[k]]
-            out.append((np.full(len(to), ids[q])[e >= least], ids[to][e >= least], e[e >= least]))
+            elif len(to):
+                fit = possible(np.frombuffer(sets[q], np.uint32), [sets[k] for k in to])
+                to, e = to[fit], e[fit]
+            if len(to):
+                out.append((np.full(len(to), ids[q]), ids[to], e))
         return out
 
     def run(batches):
@@ -280,7 +315,7 @@ def _across(apart: DataFrame, percent: int, nearest: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], names=["a", "b", "e"])
             held = held.slice(starts[-1]) if b is not None else None
 
-    dealt = apart.select("key", "i", "j", "query", "band", "id", "component", "minor", "n", "regs")
+    dealt = apart.select("key", "i", "j", "query", "band", "id", "component", "asks", "n", "regs", *([] if nearest else ["set"]))
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     pairs = dealt.mapInArrow(run, schema)
     if nearest:
@@ -323,9 +358,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     stars = _estimated(_with_sketches(_star(keyed), classes), percent)
     edges = cut(_verified(stars, texts, width, percent))
-    for nearest in (True, False):
-        apart = _apart(keyed, components(edges), classes)
-        edges = cut(edges.unionByName(_verified(_across(apart, percent, nearest), texts, width, percent)))
+    apart = _apart(keyed, components(edges)).join(classes.select("id", "n", "regs"), "id")
+    near = cut(_across(apart, percent, nearest=True))
+    edges = cut(edges.unionByName(_verified(near, texts, width, percent)))
+    apart = cut(_apart(keyed, components(edges), near.select(F.col("a").alias("id"))))
+    sets = _small_sets(texts.join(apart.select("id").distinct(), "id"), width)
+    apart = apart.join(classes.select("id", "n", "regs"), "id").join(sets, "id")
+    edges = edges.unionByName(_verified(_across(apart, percent, nearest=False), texts, width, percent))
     found = components(edges)
     found = found.withColumnRenamed("id", "class")
     out = rows.join(found, "class", "left")

@@ -37,7 +37,8 @@ NEEDS = {"email": "@", "phone": "+"}
 MENTION = r"(?<![A-Za-z0-9._+@/-])(?=[A-Za-z._+@/-]*+[0-9])[A-Za-z0-9][A-Za-z0-9._+@/-]{5,}+"
 #: A seed of kind secret: 32 hexadecimal characters or more, letters and digits.
 SECRET = r"^(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{32,}+$"
-PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: A part of at most 255, leading zeros included.
+PART = r"(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)|0++)"
 #: Characters before a mention that its pattern is taken from.
 REACH = 80
 ROUNDS = 3

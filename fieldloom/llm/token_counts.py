@@ -76,11 +76,16 @@ class Counter:
         self.tok, self.pat = _tokenizer(path), regex.compile(PRE_TOKEN)
         self.special = regex.compile("|".join(map(regex.escape, sorted((t.content for t in self.tok.get_added_tokens_decoder().values()), key=len, reverse=True))) or r"(?!)")
         self.frequent, self.lengths = frequent, _worker_table(path)
+        # Characters that are newer than the pattern library's tables: the tokenizer may know them.
+        self.newer, self.odd = regex.compile(r"\p{Cn}"), set()
         if not self.lengths:
             self.lengths.update(frequent)
 
     def _learn(self, lists: list[list[str]]) -> None:
+        """Lengths of all pre-tokens of the lists; what has newer characters is only noted."""
         seen = set().union(*lists)
+        self.odd = {t for t in seen if t not in self.lengths and self.newer.search(t)}
+        seen -= self.odd
         misses = [t for t in seen if t not in self.lengths]
         if len(self.lengths) + len(misses) > len(self.frequent) + CACHE_ENTRIES:
             self.lengths.clear()
@@ -90,20 +95,23 @@ class Counter:
 
     def count(self, texts: list[str]) -> list[int]:
         out = [0] * len(texts)
-        held: list[tuple[int, list[str]]] = []
+        held: list[tuple[int, str, list[str]]] = []
         chars = 0
 
         def settle() -> None:
-            self._learn([t for _, t in held])
-            for k, tokens in held:
-                out[k] += sum(map(self.lengths.__getitem__, tokens))
+            self._learn([t for _, _, t in held])
+            for k, part, tokens in held:
+                if self.odd and not self.odd.isdisjoint(tokens):
+                    out[k] += len(self.tok.encode(part, add_special_tokens=False))
+                else:
+                    out[k] += sum(map(self.lengths.__getitem__, tokens))
             held.clear()
 
         for k, text in enumerate(texts):
             parts = self.special.split(text)
             out[k] = len(parts) - 1
             for part in (p for whole in parts for p in pieces(whole)):
-                held.append((k, self.pat.findall(part)))
+                held.append((k, part, self.pat.findall(part)))
                 chars += len(part)
                 if chars >= CHUNK_CHARS:
                     settle()

@@ -2,8 +2,8 @@
 
 Rules decide where one fits.  Elsewhere the host's reputation does: labelled outcomes of
 its pages, shrunk through beta-binomial priors from the suffix to the registered domain
-to the host.  Each level's prior is the posterior mean of the level above with a strength
-fitted by moments; a page is blocked where even the upper posterior bound of its host's
+to the host.  Each level's prior is the posterior mean of the level above, without the key's
+own outcomes, with a strength fitted by moments; a page is blocked where even the upper posterior bound of its host's
 share of good pages lies below a threshold.  A host without outcomes has its domain's
 posterior, and with none there the suffix's.
 
@@ -110,36 +110,48 @@ def full_text_of(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
-def _level(rows: DataFrame, key: str, prior: str) -> DataFrame:
-    """Posterior of one level from its good and all outcomes and the prior means above.
+def _strength(rows: DataFrame) -> float:
+    """Strength of a level's prior in pseudo-pages, by moments over rows of (good, n, prior).
 
-    The strength is fitted by moments: by how much the shares of keys spread about their
-    priors beyond what the binomial alone explains.
+    It follows from how much the shares of good pages spread about their priors beyond
+    what the binomial alone explains.
     """
-    m = F.col(prior)
+    m = F.col("prior")
     seen = rows.filter("n > 1").select(
         F.sum(F.pow(F.col("good") - F.col("n") * m, 2.0)).alias("a"),
         F.sum(F.col("n") * m * (1 - m)).alias("b"),
         F.sum(F.col("n") * (F.col("n") - 1) * m * (1 - m)).alias("c"),
-    )
+    ).first()
+    if not seen["c"]:
+        return STRONGEST
     # E[(good - n m)^2] = n m (1 - m) (1 + (n - 1) r), with r = 1 / (strength + 1).
-    r = (F.col("a") - F.col("b")) / F.col("c")
-    strength = seen.select(F.when(F.col("c") > 0, F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), F.when(r > 1e-9, 1 / r - 1).otherwise(STRONGEST)))).otherwise(STRONGEST).alias("s")).first()["s"]
-    alpha, total = F.col("good") + strength * m, F.col("n") + strength
-    mean = alpha / total
-    return rows.withColumns({f"{key}_mean": mean, f"{key}_sd": F.sqrt(mean * (1 - mean) / (total + 1))})
+    r = (seen["a"] - seen["b"]) / seen["c"]
+    return min(STRONGEST, max(WEAKEST, 1 / r - 1)) if r > 1e-9 else STRONGEST
+
+
+def _prior(above: str, strength: float) -> Column:
+    """Prior mean of a key: the posterior of the level above without the key's own outcomes."""
+    rest = F.col(f"{above}_n") - F.col("n")
+    return (F.col(f"{above}_good") - F.col("good") + strength * F.col(f"{above}_prior")) / (rest + strength)
 
 
 def reputation(outcomes: DataFrame) -> DataFrame:
     """Per host of outcomes (host, good of 0 or 1): the posterior mean and sd of its share of good pages."""
     hosts = outcomes.filter(F.col("good").isNotNull()).groupBy("host").agg(F.sum("good").cast("double").alias("good"), F.count("*").cast("double").alias("n"))
     hosts = cut(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-    whole = suffixes.agg(((F.sum("good") + 1) / (F.sum("n") + 2)).alias("m")).first()["m"]
-    suffixes = cut(_level(suffixes.withColumn("root", F.lit(0.5 if whole is None else whole)), "suffix", "root").select("suffix", "suffix_mean", "suffix_sd"))
-    domains = cut(_level(domains.join(suffixes, "suffix"), "domain", "suffix_mean").select("domain", "domain_mean", "domain_sd"))
-    return _level(hosts.join(domains, "domain"), "host", "domain_mean").select("host", "good", "n", "host_mean", "host_sd")
+    domains = cut(hosts.groupBy("suffix", "domain").agg(F.sum("good").alias("good"), F.sum("n").alias("n")))
+    suffixes = cut(domains.groupBy("suffix").agg(F.sum("good").alias("good"), F.sum("n").alias("n")))
+    whole = suffixes.agg(F.sum("good"), F.sum("n")).first()
+    root = ((whole[0] or 0.0) + 1) / ((whole[1] or 0.0) + 2)
+    level = suffixes.withColumn("prior", F.lit(root))
+    for key, rows in (("suffix", domains), ("domain", hosts)):
+        strength = _strength(level)
+        above = level.select(key, F.col("good").alias(f"{key}_good"), F.col("n").alias(f"{key}_n"), F.col("prior").alias(f"{key}_prior"))
+        level = cut(rows.join(above, key).withColumn("prior", _prior(key, strength)))
+    strength = _strength(level)
+    total = F.col("n") + strength
+    mean = (F.col("good") + strength * F.col("prior")) / total
+    return level.select("host", "good", "n", mean.alias("host_mean"), F.sqrt(mean * (1 - mean) / (total + 1)).alias("host_sd"))
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES, least_good: float = LEAST_GOOD) -> DataFrame:
