@@ -12,9 +12,9 @@ whole set, rather than a share of it, so that short documents leave no register
    paired with the rest.  Pairs pass a bound on sizes and the collision-corrected estimate
    of the similarity (five deviations below the threshold, so that it costs no links),
    and are then verified on their full sets.  The links make components.
-4. Where a key's classes are still apart, each class outside the largest component tries
-   the one with the best estimate.  One that finds none has no link across components.
-5. Of the others, whatever is then still apart is searched in full, block by block: every
+4. Where a key's classes are still apart, each class outside the largest component asks
+   for the best estimate of another.  One that finds none has no link across components.
+5. For those that find one, the keys are searched in full, block by block: every
    pair across components that the estimate lets pass is checked on small hashes of the
    full sets, and verified.  So no link is lost, and the pairs within a group of copies,
    which are already connected, never appear.
@@ -190,19 +190,38 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return rows.mapInArrow(run, pairs.select("a", "b").schema)
 
 
+def _compact(df: DataFrame) -> DataFrame:
+    """A checkpointed table in as many partitions as its rows are worth, at least eight."""
+    return df.coalesce(max(8, df.count() // 200_000))
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: those of the graph whose nodes are the old components."""
+    if links.isEmpty():
+        return found
+    for side in ("a", "b"):
+        links = links.join(found.select(F.col("id").alias(side), F.col("component").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    links = _compact(cut(links))
+    new = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a != b").distinct())
+    alone = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    every = found.unionByName(alone.join(found, "id", "left_anti").withColumn("component", F.col("id")))
+    every = every.join(new.select(F.col("id").alias("component"), F.col("component").alias("low")), "component", "left")
+    return cut(every.select("id", F.coalesce("low", "component").alias("component")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each end of an edge (a, b) reaches.
 
     Labels take the minimum over neighbours and then jump to their label's label, until
     none changes; each round ends in a checkpoint.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")))
+    both = _compact(cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()))
+    labels = _compact(cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c"))))
     while True:
         near = both.join(labels.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b").groupBy("a").agg(F.min("cb").alias("cb"))
         step = labels.join(near, "a").select("a", "c", F.least("c", "cb").alias("low"))
         jump = labels.select(F.col("a").alias("low"), F.col("c").alias("cc"))
-        moved = cut(step.join(jump, "low").select("a", "c", F.least("low", "cc").alias("new")))
+        moved = _compact(cut(step.join(jump, "low").select("a", "c", F.least("low", "cc").alias("new"))))
         labels = moved.select("a", F.col("new").alias("c"))
         if moved.filter("new != c").isEmpty():
             return labels.select(F.col("a").alias("id"), F.col("c").alias("component"))
@@ -357,15 +376,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     texts = cut(ids.join(met.select("id"), "id").join(classes.select("id"), "id").dropDuplicates(["id"]))
 
     stars = _estimated(_with_sketches(_star(keyed), classes), percent)
-    edges = cut(_verified(stars, texts, width, percent))
-    apart = _apart(keyed, components(edges)).join(classes.select("id", "n", "regs"), "id")
-    near = cut(_across(apart, percent, nearest=True))
-    edges = cut(edges.unionByName(_verified(near, texts, width, percent)))
-    apart = cut(_apart(keyed, components(edges), near.select(F.col("a").alias("id"))))
+    found = components(cut(_verified(stars, texts, width, percent)))
+    apart = _apart(keyed, found).join(classes.select("id", "n", "regs"), "id")
+    near = _compact(cut(_across(apart, percent, nearest=True)))
+    apart = cut(_apart(keyed, found, near.select(F.col("a").alias("id"))))
     sets = _small_sets(texts.join(apart.select("id").distinct(), "id"), width)
     apart = apart.join(classes.select("id", "n", "regs"), "id").join(sets, "id")
-    edges = edges.unionByName(_verified(_across(apart, percent, nearest=False), texts, width, percent))
-    found = components(edges)
+    found = _merged(found, cut(_verified(_across(apart, percent, nearest=False), texts, width, percent)))
     found = found.withColumnRenamed("id", "class")
     out = rows.join(found, "class", "left")
     component = F.coalesce("component", "class", "id")
