@@ -250,13 +250,6 @@ class Tensor:
             rows.append([C(column(x.re) / size, column(x.im) / size) for x in row])
         return Tensor([x for row in rows for x in row], self.shape)
 
-    def exp_matrix(self, alpha: float = 1.0, terms: int = 12) -> Tensor:
-        """exp(alpha A) by its series up to a number of terms (Horner's scheme)."""
-        out = Tensor.constant(np.eye(self.shape[0]))
-        for k in range(terms, 0, -1):
-            out = Tensor.constant(np.eye(self.shape[0])) + (self * out).scale(alpha / k)
-        return out
-
 
 def _dot(a: list[C], b: list[C]) -> C:
     total = C(0.0)

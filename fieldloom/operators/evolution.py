@@ -38,15 +38,32 @@ def hot(lat: Lattice, seed: int, nc: int, scale: float = 1.0) -> Lattice:
     """Random links by the exponential of noise; a small scale gives a tepid start."""
     for mu in range(len(lat.grid.dims)):
         lat = algebra_noise(lat, seed * 1000 + mu, nc, "__a", scale)
-        lat = lat.put(**{link(mu): exponential(lat.t("__a"))}).keep(*[n for n in lat.shapes if n != "__a"], link(mu)).cut()
+        lat = exponentiate(lat, **{link(mu): "__a"}).keep(*[n for n in lat.shapes if n != "__a"], link(mu)).cut()
     return lat
 
 
-def exponential(a: Tensor, alpha: float = 1.0) -> Tensor:
-    """exp(alpha A); exact for one color, by series beyond."""
-    if a.shape == (1, 1):
-        return Tensor([a[0, 0].scale(alpha).exp()])
-    return a.exp_matrix(alpha)
+#: Terms of the matrix exponential's series.
+TERMS = 16
+
+
+def exponentiate(lat: Lattice, alpha: float = 1.0, **fields: str) -> Lattice:
+    """out=name pairs: out = exp(alpha name); exact for one color, by series (Horner's scheme) beyond.
+
+    Each term of all fields is one projection, so that expressions do not grow.
+    """
+    if all(lat.shapes[n] == (1, 1) for n in fields.values()):
+        return lat.put(**{o: Tensor([lat.t(n)[0, 0].scale(alpha).exp()]) for o, n in fields.items()})
+    one = {o: Tensor.constant(np.eye(lat.shapes[n][0])) for o, n in fields.items()}
+    work = lat.put(**one)
+    for k in range(TERMS, 0, -1):
+        work = work.put(**{o: one[o] + (work.t(n) * work.t(o)).scale(alpha / k) for o, n in fields.items()})
+    return work
+
+
+def _turned(lat: Lattice, alpha: float, algebra: dict[int, str]) -> Lattice:
+    """Links of the directions multiplied from the left by exp(alpha algebra field)."""
+    work = exponentiate(lat, alpha, **{f"__e{mu}": n for mu, n in algebra.items()})
+    return work.put(**{link(mu): work.t(f"__e{mu}") * work.t(link(mu)) for mu in algebra})
 
 
 def force_direction(u: Tensor, s: Tensor) -> Tensor:
@@ -83,7 +100,7 @@ def _flowed(lat: Lattice, rho: float, steps: int) -> Lattice:
         for mu in range(d):
             new = gauge.staple(new, mu, f"__s{mu}")
         new = new.put(**{f"__z{mu}": -force_direction(new.t(link(mu)), new.t(f"__s{mu}")) for mu in range(d)})
-        lat = new.put(**{link(mu): exponential(new.t(f"__z{mu}"), rho) * new.t(link(mu)) for mu in range(d)}).keep(*lat.shapes).cut()
+        lat = _turned(new, rho, {mu: f"__z{mu}" for mu in range(d)}).keep(*lat.shapes).cut()
     return lat
 
 
@@ -109,7 +126,8 @@ def wilson_flow(lat: Lattice, epsilon: float, steps: int, measure: Callable[[flo
                     t = t + work.t(f"__z1_{mu}").scale(before) + work.t(f"__z0_{mu}").scale(first)
                 total[f"__t{mu}"] = t
             work = work.put(**total)
-            work = work.put(**{link(mu): exponential(work.t(f"__t{mu}"), epsilon) * work.t(link(mu)) for mu in range(d)}).cut()
+            work = _turned(work, epsilon, {mu: f"__t{mu}" for mu in range(d)})
+            work = work.keep(*[n for n in work.shapes if n[:3] not in ("__e", "__t", "__s")]).cut()
         lat = work.keep(*lat.shapes)
         if measure:
             measure((k + 1) * epsilon, lat)
@@ -136,7 +154,7 @@ def gauge_fix(lat: Lattice, alpha: float, steps: int, dims: list[int] | None = N
             total = diff if total is None else total + diff
         da = Tensor([C(0.0, total[0, 0].im)]) if nc == 1 else total.ta()
         got = got.put(__da=da).keep(*lat.shapes, "__da")
-        got = got.put(__g=exponential(got.t("__da"), -alpha)).keep(*lat.shapes, "__g")
+        got = exponentiate(got, -alpha, __g="__da").keep(*lat.shapes, "__g")
         lat = gauge.gauge_transform(got, "__g").keep(*lat.shapes).cut()
     return lat
 
@@ -177,7 +195,7 @@ def _kick(lat: Lattice, beta: float, dt: float) -> Lattice:
 
 def _drift(lat: Lattice, dt: float) -> Lattice:
     d = len(lat.grid.dims)
-    return lat.put(**{link(mu): exponential(lat.t(momentum_name(mu)), dt) * lat.t(link(mu)) for mu in range(d)})
+    return _turned(lat, dt, {mu: momentum_name(mu) for mu in range(d)}).keep(*lat.shapes)
 
 
 #: Fixed value: the parameter of the second-order minimum-norm scheme.
