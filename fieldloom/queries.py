@@ -153,15 +153,15 @@ def global_sum(spark, sf_dir):
     return got.select(r(F.col("v_0_re"), 3).alias("re"), r(F.col("v_0_im"), 3).alias("im"))
 
 
-@query(f"WITH {EV} SELECT {q('sum(re * re + im * im)', 'norm2', 3)} FROM e")
+@query(f"WITH {EV} SELECT {q('sum(re * re + im * im)', 'norm2', 4)} FROM e")
 def norm2(spark, sf_dir):
-    return reductions.norm2(events_lattice(spark, sf_dir), "v").select(r(F.col("norm2"), 3).alias("norm2"))
+    return reductions.norm2(events_lattice(spark, sf_dir), "v").select(r(F.col("norm2"), 4).alias("norm2"))
 
 
-@query(f"WITH {EV} SELECT {q('sum(re * event_id)', 're', 2)}, {q('sum(-im * event_id)', 'im', 2)}, {q('sum(re * re + im * im)', 'norm2', 3)} FROM e")
+@query(f"WITH {EV} SELECT {q('sum(re * event_id)', 're', 2)}, {q('sum(-im * event_id)', 'im', 2)}, {q('sum(re * re + im * im)', 'norm2', 4)} FROM e")
 def inner_product_norm(spark, sf_dir):
     got = reductions.inner_product(events_lattice(spark, sf_dir), "v", "i")
-    return got.select(r(F.col("re"), 2).alias("re"), r(F.col("im"), 2).alias("im"), r(F.col("norm2"), 3).alias("norm2"))
+    return got.select(r(F.col("re"), 2).alias("re"), r(F.col("im"), 2).alias("im"), r(F.col("norm2"), 4).alias("norm2"))
 
 
 @query(f"WITH {EV} SELECT {q('max(re * re + im * im)', 'max_norm2')} FROM e")
@@ -181,11 +181,11 @@ def slice_sum(spark, sf_dir):
     return got.select(F.col("x2").cast("long").alias("x2"), r(F.col("v_0_re"), 4).alias("re"), r(F.col("v_0_im"), 4).alias("im"))
 
 
-@query(f"WITH {EV} SELECT x0::BIGINT AS x0, {q('sum(re * re + im * im)', 'norm2', 3)}, {q('sum(re * event_id)', 're', 2)} FROM e GROUP BY x0")
+@query(f"WITH {EV} SELECT x0::BIGINT AS x0, {q('sum(re * re + im * im)', 'norm2', 4)}, {q('sum(re * event_id)', 're', 2)} FROM e GROUP BY x0")
 def slice_norm_inner(spark, sf_dir):
     lat = events_lattice(spark, sf_dir)
     a, b = reductions.slice_norm2(lat, "v", 0), reductions.slice_inner_product(lat, "v", "i", 0)
-    return a.join(b, "x0").select(F.col("x0").cast("long").alias("x0"), r(F.col("norm2"), 3).alias("norm2"), r(F.col("re"), 2).alias("re"))
+    return a.join(b, "x0").select(F.col("x0").cast("long").alias("x0"), r(F.col("norm2"), 4).alias("norm2"), r(F.col("re"), 2).alias("re"))
 
 
 @query(f"WITH {EV} SELECT {XYZ}, {q('(x0 + 1) * re + event_id', 're', 4)} FROM e")
@@ -208,12 +208,12 @@ def block_normalise(spark, sf_dir):
     return got.df.select(*keys(got), r(F.col("v_0_re")).alias("re"))
 
 
-@query(f"WITH {EV} SELECT {XYZ}, {q('re * sum(re * event_id) OVER (PARTITION BY x0 // 5, x1 // 2, x2 // 5) + im * sum(im * event_id) OVER (PARTITION BY x0 // 5, x1 // 2, x2 // 5)', 're', 2)} FROM e")
+@query(f"WITH {EV} SELECT {XYZ}, {q('re * sum(re * event_id) OVER (PARTITION BY x0 // 5, x1 // 2, x2 // 5) + im * sum(im * event_id) OVER (PARTITION BY x0 // 5, x1 // 2, x2 // 5)', 're', 4)} FROM e")
 def block_project_promote(spark, sf_dir):
     lat = events_lattice(spark, sf_dir)
     coarse = reductions.block_project(lat, "i", ["v"], (5, 2, 5))
     got = reductions.block_promote(lat, coarse, ["v"], (5, 2, 5))
-    return got.df.select(*keys(got), r(F.col("f_0_re"), 2).alias("re"))
+    return got.df.select(*keys(got), r(F.col("f_0_re"), 4).alias("re"))
 
 
 @query("WITH e AS (SELECT event_id % 10 AS x0, (event_id // 10) % 10 AS x1, event_id // 100 AS x2, value AS re FROM events), n AS (SELECT count(*) // 100 AS l2 FROM events) SELECT (x0 + 10 * i)::BIGINT AS x0, x1::BIGINT AS x1, (x2 + l2 * j)::BIGINT AS x2, round(re, 6) + 0.0 AS re FROM e, n, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1, 2]) AS j)")
