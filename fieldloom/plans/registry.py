@@ -1,0 +1,21 @@
+"""Named factories: operators, solvers, observables and integrators by name and parameters."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from typing import Any
+
+FACTORIES: dict[str, dict[str, Callable[..., Any]]] = {}
+
+
+def register(kind: str, name: str, factory: Callable[..., Any]) -> None:
+    if name in FACTORIES.setdefault(kind, {}):
+        raise ValueError(f"{kind} {name} is registered already")
+    FACTORIES[kind][name] = factory
+
+
+def create(kind: str, name: str, /, **parameters: Any) -> Any:
+    try:
+        return FACTORIES[kind][name](**parameters)
+    except KeyError:
+        raise ValueError(f"no {kind} {name}; there are {sorted(FACTORIES.get(kind, {}))}") from None
