@@ -42,8 +42,8 @@ def hot(lat: Lattice, seed: int, nc: int, scale: float = 1.0) -> Lattice:
     return lat
 
 
-#: Terms of the matrix exponential's series.
-TERMS = 16
+#: Terms of the matrix exponential's series, and squarings after it: exp(A) = exp(A / 2^n)^(2^n).
+TERMS, SQUARINGS = 10, 3
 
 
 def exponentiate(lat: Lattice, alpha: float = 1.0, **fields: str) -> Lattice:
@@ -56,7 +56,9 @@ def exponentiate(lat: Lattice, alpha: float = 1.0, **fields: str) -> Lattice:
     one = {o: Tensor.constant(np.eye(lat.shapes[n][0])) for o, n in fields.items()}
     work = lat.put(**one)
     for k in range(TERMS, 0, -1):
-        work = work.put(**{o: one[o] + (work.t(n) * work.t(o)).scale(alpha / k) for o, n in fields.items()})
+        work = work.put(**{o: one[o] + (work.t(n) * work.t(o)).scale(alpha / k / 2.0**SQUARINGS) for o, n in fields.items()})
+    for _ in range(SQUARINGS):
+        work = work.put(**{o: work.t(o) * work.t(o) for o in fields})
     return work
 
 
@@ -248,3 +250,55 @@ def run_chain(lat: Lattice, beta: float, seed: int, trajectories: int, observe:
         if save and (n + 1) % interval == 0:
             save(n, lat)
     return lat, log
+
+
+#: Proposals of a site's heat bath; a site that accepts none keeps its link, as in any accept-reject step.
+TRIALS = 12
+
+
+def heat_bath(lat: Lattice, beta: float, seed: int, sweep: int) -> Lattice:
+    """One sweep over directions, parities and SU(2) subgroups by the Kennedy-Pendleton method.
+
+    Uniform numbers are hashes of seed, sweep, step, site and trial.
+    """
+    from fieldloom.functions.groups import su2_extract, su2_insert, su2_subgroups
+
+    d, nc = len(lat.grid.dims), lat.shapes[link(0)][0]
+    site, step = lat.grid.site(), 0
+    for mu in range(d):
+        for parity in (0, 1):
+            work = gauge.staple(lat, mu, "__s").cut()
+            for pair in su2_subgroups(nc):
+                step += 1
+
+                def uniform(draw: int, step: int = step):
+                    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(sweep), F.lit(step), site, F.lit(draw)), 11).cast("double") + 0.5) * 2.0**-53
+
+                work = work.put(__w=work.t(link(mu)) * work.t("__s"))
+                a, b = su2_extract(work.t("__w"), pair)
+                work = work.put(__a=Tensor([a, b], (2, 1)))
+                a, b = work.t("__a").items
+                work = work.put(__k=Tensor([C(F.sqrt(column(a.norm2()) + column(b.norm2())))]))
+                size, tries = F.col("__k_0_re"), []
+                for t in range(TRIALS):
+                    delta = -(F.log(uniform(4 * t)) + F.pow(F.cos(2 * np.pi * uniform(4 * t + 1)), 2.0) * F.log(uniform(4 * t + 2))) / (2.0 * beta / nc * size)
+                    tries.append(F.when(F.pow(uniform(4 * t + 3), 2.0) <= 1.0 - delta / 2.0, 1.0 - delta))
+                work = work.put(__x=Tensor([C(F.coalesce(*tries, F.lit(2.0)))]))
+                x0 = F.col("__x_0_re")
+                radius = F.sqrt(F.greatest(1.0 - x0 * x0, F.lit(0.0)))
+                z, angle = 2.0 * uniform(1001) - 1.0, 2.0 * np.pi * uniform(1002)
+                flat = F.sqrt(1.0 - z * z)
+                # The new part times the inverse of w / |w|: (x0 + i x.sigma) w† / |w|.
+                work = work.put(__n=Tensor([C(x0, radius * z), C(radius * flat * F.sin(angle), radius * flat * F.cos(angle))], (2, 1)))
+                p, r = work.t("__n").items
+                a, b = work.t("__a").items
+                top = C(column((p * a.conj() + r * b.conj()).re) / size, column((p * a.conj() + r * b.conj()).im) / size)
+                off = r * a - p * b
+                side = C(column(off.re) / size, column(off.im) / size)
+                new = work.put(__g=su2_insert(top, side, pair, nc))
+                moved = new.t("__g") * new.t(link(mu))
+                here = (lat.grid.parity() == parity) & (x0 <= 1.0) & (size > 1e-12)
+                kept = new.t(link(mu))
+                work = new.put(**{link(mu): Tensor([C(F.when(here, m.re).otherwise(o.re), F.when(here, m.im).otherwise(o.im)) for m, o in zip(moved.items, kept.items, strict=True)], kept.shape)}).keep(*lat.shapes, "__s").cut()
+            lat = work.keep(*lat.shapes)
+    return lat

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from fieldloom.functions.spin import GAMMA5, projector, times
+from fieldloom.functions.spin import GAMMA, GAMMA5, projector, times
 from fieldloom.functions.tensors import C, Tensor
 from fieldloom.operators.linear import Operator, combine, hops, unit
 from fieldloom.plans.lattice import Lattice
@@ -118,3 +119,46 @@ def axpby_slices(lat: Lattice, f: str, a: float, b: float, s: int, s2: int, out:
     rest = combine(replace(lat, df=lat.df.filter(F.col(f"x{last}") != s)), **{out: {f: 1.0}})
     keep = [*lat.shapes, out]
     return replace(rest.keep(*keep), df=rest.keep(*keep).df.unionByName(at.keep(*keep).df))
+
+
+def clover_wilson(d: int, links: Sequence[str], mass: float, csw: float, dagger: bool = False) -> Operator:
+    """The Wilson matrix less csw / 2 sum over mu < nu of sigma F, with sigma half the commutator of gammas.
+
+    The lattice must hold the field strengths f01, f02, ... that ``gauge.clover`` makes;
+    they are local, so that the term adds nothing to the shuffle.
+    """
+    base = wilson(d, links, mass, dagger)
+
+    def apply(lat: Lattice, names: dict, f: str) -> Tensor:
+        out = base.apply(lat, names, f)
+        for mu, nu in combinations(range(d), 2):
+            sigma = (GAMMA[mu] @ GAMMA[nu] - GAMMA[nu] @ GAMMA[mu]) / 2
+            out = out - times(sigma, lat.t(f) * lat.t(f"f{mu}{nu}").transpose()).scale(csw / 2.0)
+        return out
+
+    return Operator(base.wanted, apply)
+
+
+def moebius(links: Sequence[str], m5: float, mass: float, ls: int, b: float, c: float) -> Operator:
+    """(b D + 1) f + (c D - 1) h with h = P- f(s + 1) + P+ f(s - 1), D the Wilson matrix at -m5 and -mass at the walls."""
+    d, n = 5, 4
+    walls = domain_wall(links, m5, mass, ls)
+
+    class _Moebius(Operator):
+        def __call__(self, lat: Lattice, source: str, out: str) -> Lattice:
+            keep = dict.fromkeys([*lat.shapes, out])
+            up, down = unit(d, 4), unit(d, 4, -1)
+            got, names = lat.gather([(source, up), (source, down)])
+
+            def wall(t: Tensor, at: int) -> Tensor:
+                hit = F.col("x4") == at
+                return t.map(lambda z: C(F.when(hit, -mass * z.re).otherwise(z.re), F.when(hit, -mass * z.im).otherwise(z.im)))
+
+            h = times(projector(4, -1) / 2, wall(got.t(names[(source, up)]), ls - 1)) + times(projector(4, 1) / 2, wall(got.t(names[(source, down)]), 0))
+            got = got.put(__h=h).keep(*lat.shapes, "__h")
+            got = combine(got, __x={source: b, "__h": c})
+            got, names = got.gather(_wanted(d, links, n)("__x"))
+            dx = got.t("__x").scale(4.0 - m5) - _hop(got, names, "__x", d, links, n, False).scale(0.5)
+            return got.put(**{out: dx + got.t(source) - got.t("__h")}).keep(*keep)
+
+    return _Moebius(walls.wanted, walls.apply)

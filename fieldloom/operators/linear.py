@@ -343,3 +343,26 @@ def schur_even_odd(diagonal: float, hop: Operator) -> Operator:
     return _Schur(hop.wanted, hop.apply)
 
 
+
+
+def multi_rhs_cg(a: Operator, lat: Lattice, bs: Sequence[str], tol: float = 1e-8, most: int = 1000) -> Solution:
+    """Conjugate gradients for several sources at once: one shuffle an iteration for all; fields x0, x1, ...
+
+    The residuals reported are the largest relative ones.
+    """
+    own, n = list(lat.shapes), range(len(bs))
+    lat = combine(lat, **{f"x{k}_b": {bs[k]: 0.0} for k in n}, **{f"__r{k}": {bs[k]: 1.0} for k in n}, **{f"__p{k}": {bs[k]: 1.0} for k in n}).cut()
+    first = rr = [z.real for z in dots(lat, [(f"__r{k}", f"__r{k}") for k in n])]
+    history = [1.0]
+    while history[-1] > tol * tol and len(history) <= most:
+        state = list(lat.shapes)
+        got, names = lat.gather([w for k in n for w in a.wanted(f"__p{k}")])
+        lat = got.put(**{f"__q{k}": a.apply(got, names, f"__p{k}") for k in n}).keep(*dict.fromkeys([*state, *[f"__q{k}" for k in n]])).cut()
+        pq = [z.real for z in dots(lat, [(f"__p{k}", f"__q{k}") for k in n])]
+        alpha = [x / y if y else 0.0 for x, y in zip(rr, pq, strict=True)]
+        lat = combine(lat, **{f"x{k}_b": {f"x{k}_b": 1.0, f"__p{k}": alpha[k]} for k in n}, **{f"__r{k}": {f"__r{k}": 1.0, f"__q{k}": -alpha[k]} for k in n})
+        new = [z.real for z in dots(lat, [(f"__r{k}", f"__r{k}") for k in n])]
+        lat = combine(lat, **{f"__p{k}": {f"__r{k}": 1.0, f"__p{k}": new[k] / rr[k] if rr[k] else 0.0} for k in n})
+        rr = new
+        history.append(max(x / y if y else 0.0 for x, y in zip(rr, first, strict=True)))
+    return Solution(lat.keep(*own, *[f"x{k}_b" for k in n]).cut(), history)
