@@ -18,7 +18,7 @@ from fieldloom.llm.common import checkpoint_dir, full_text, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the robust distance keep."""
-    return quality_rules.quality_rules(docs).filter("kept").select(*docs.columns)
+    return quality_rules.keep_good(docs).select(*docs.columns)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
