@@ -150,7 +150,7 @@ def discover(scanned: DataFrame, row: str) -> DataFrame:
     seed = each.filter(F.col("kind") == KINDS.index("secret")).select(row, F.col("kind").alias("k"), "start", "end", "value")
     spans = new.select(row, "k", "start", "end", "value").unionByName(seed)
     span = F.struct(F.col("k").alias("kind"), "start", "end", "value", F.lit(None).cast("string").alias("before"))
-    return spans.groupBy(row).agg(F.collect_set(span).alias("more"))
+    return spans.groupBy(row).agg(F.collect_set(span).alias("__more"))
 
 
 def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -163,12 +163,12 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     rows = scan(docs.drop("base", "mentions", "spans"), text).drop(text)
     rows = cut(rows.withColumn("__row", F.monotonically_increasing_id()))
-    return _with_spans(rows).drop("__row", "mentions", "more")
+    return _with_spans(rows).drop("__row", "mentions", "__more")
 
 
 def _with_spans(rows: DataFrame) -> DataFrame:
     out = rows.join(discover(rows, "__row"), "__row", "left")
-    return out.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPAN)))))
+    return out.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("__more", F.array().cast(_SPAN)))))
 
 
 def listed(spans: str) -> Column:

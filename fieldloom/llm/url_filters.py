@@ -163,12 +163,12 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, url: str = "url", rules:
     comes back once; columns that bear a result's name are replaced.
     """
     seen = outcomes.select(host_of(full_text("__url")).alias("host"), "good")
-    known = reputation(seen).select(F.col("host").alias("__host"), "host_mean", "host_sd")
+    known = reputation(seen).select(F.col("host").alias("__host"), F.col("host_mean").alias("__mean"), F.col("host_sd").alias("__sd"))
     names = ("host", "path", "rule", "verdict", "good_mean", "good_bound")
     rows = pages.withColumnRenamed(url, "__url").drop(*names)
     rows = rows.withColumns({"host": host_of(full_text("__url")), "path": path_of(full_text("__url"))}).drop("__url")
     name, decided = rule_of(F.col("host"), F.col("path"), rules)
     out = rows.join(known, F.col("host") == F.col("__host"), "left").drop("__host")
-    out = out.withColumns({"rule": name, "good_mean": F.col("host_mean"), "good_bound": F.col("host_mean") + WIDTH * F.col("host_sd")}).drop("host_mean", "host_sd")
+    out = out.withColumns({"rule": name, "good_mean": F.col("__mean"), "good_bound": F.col("__mean") + WIDTH * F.col("__sd")}).drop("__mean", "__sd")
     own = F.when(F.col("good_bound") < least_good, "block").otherwise("allow")
     return out.withColumn("verdict", F.coalesce(decided, own))
