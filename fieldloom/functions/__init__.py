@@ -1 +1 @@
-
+"""Site-local functions of columns."""

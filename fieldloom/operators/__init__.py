@@ -1 +1 @@
-
+"""Operators on lattices."""

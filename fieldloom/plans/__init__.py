@@ -1 +1 @@
-
+"""Grids, lattices, lineage cuts and named factories."""

@@ -1 +1 @@
-
+"""Files and tables as lattices, and typed records."""

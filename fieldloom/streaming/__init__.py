@@ -1 +1 @@
-
+"""Nothing here: the domain has no streams; chains of configurations are checkpointed batch loops."""
