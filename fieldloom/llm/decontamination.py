@@ -85,7 +85,8 @@ def occurrences(docs: DataFrame, found: DataFrame, keys: list[Column], text: str
     # Only the words around a place go on: a row for each place must not hold its whole text.
     rows = _around(rows, window)
     reach = F.least(F.col("__at"), F.size("item_left")) + F.least(F.col("__n") - F.col("__at") - 1, F.size("item_right")) + 1
-    beside = F.col("__next").eqNullSafe(F.get("item_right", F.lit(0))) | F.col("__prev").eqNullSafe(F.get("item_left", F.lit(0)))
+    # A run of one word needs no neighbour; a longer one goes on at one side at least.
+    beside = (F.col("need") == 1) | F.col("__next").eqNullSafe(F.get("item_right", F.lit(0))) | F.col("__prev").eqNullSafe(F.get("item_left", F.lit(0)))
     on = (F.col("__word") == F.col("anchor")) & (reach >= F.col("need")) & beside
     met = rows.join(F.broadcast(found) if few else found, on)
     met = met.withColumns({"__l": _common("item_left", "__left"), "__r": _common("item_right", "__right")})
