@@ -10,11 +10,14 @@ each document.  Beside it stands a unigram baseline over words with add-one smoo
 
 Training is one pass: each task counts the words and the byte grams of its documents,
 combines them in bounded memory, and one shuffle sums them.  All counts cover the whole
-corpus.  What is broadcast is bounded: the trie keeps the ``MAX_GRAMS`` most counted grams
-over all orders (a least count that follows from a histogram, as in any PPM with bounded
-memory), and the baseline broadcasts its ``MAX_WORDS`` most counted words.  The other
-words of a document, its tail, are shuffled to the full counts and summed back, so the
-baseline is exact at any size; hot words never enter that shuffle.
+corpus, and so do both scores.  What is broadcast is bounded: the trie holds the contexts
+met most often, each with all its children, up to ``MAX_GRAMS`` grams, and the baseline its
+``MAX_WORDS`` most counted words.  A context is met at least as often as a longer one that
+ends in it, so a byte whose longest context is held is scored there and then.  The others,
+the tail of a document, are shuffled: words meet the full counts, and distinct grams are
+scored by shards of the full gram table, which are dealt by the last bytes of the context.
+Both are summed back, so the scores are exact at any size; hot words and grams never enter
+that shuffle.
 """
 
 from __future__ import annotations
@@ -22,15 +25,17 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldloom.llm.common import cut
+from fieldloom.llm.common import cut, stored
 
 #: Bytes of the longest context.
 ORDER = 5
 MAX_GRAMS, MAX_WORDS = 1_500_000, 400_000
+#: Orders that the trie always holds whole: few byte strings are so short (fixed value).
+WHOLE = 2
 #: Bytes of text that are handled at once, and combined counts that a task holds.
 CHUNK, HELD = 1_500_000, 2_000_000
 END = b"\n"
@@ -199,9 +204,68 @@ class Trie:
         out[left] -= np.log10(256.0 - (self.kinds[0][0] if len(self.kinds[0]) else 0.0))
         return out
 
+    def holds(self, codes: np.ndarray) -> np.ndarray:
+        """Whether the longest context of each full-order code is held."""
+        return self._find(self.contexts[ORDER], codes >> np.uint64(8)) >= 0
+
+
+def _key(gram: int) -> bytes:
+    """The key of a gram of the tail: no word and no row has it."""
+    return END + gram.to_bytes(8, "big")
+
+
+def _shard(low: list[tuple[np.ndarray, np.ndarray]], gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes without a count and their log10, from the counts of all grams in their shards."""
+    train = n > 0
+    codes, counts = gram[train], n[train]
+    orders = [*low, *[_merge([codes & np.uint64((1 << 8 * (j + 1)) - 1)], [counts]) for j in range(WHOLE + 1, ORDER + 1)]]
+    asked = np.unique(gram[~train])
+    return asked, Trie(orders).log10(asked)
+
+
+def tail_scores(asked: DataFrame, full: DataFrame, low: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """The log10 probability of distinct full-order grams (word, the key, and s) by the full counts.
+
+    All grams that end in the same WHOLE + 1 bytes of context come to one task together;
+    so it has every longer context of theirs whole, and the shorter orders are in ``low``.
+    """
+    shared = asked.sparkSession.sparkContext.broadcast(low)
+    deal = F.shiftright("gram", 8).bitwiseAND((1 << 8 * (WHOLE + 1)) - 1)
+    both = full.select("gram", "n").unionByName(asked.select("gram", F.lit(0).cast("long").alias("n")))
+    both = both.withColumn("shard", deal).repartition("shard").sortWithinPartitions("shard")
+
+    def run(batches):
+        import pyarrow as pa
+
+        def scored(parts):
+            gram, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            if (n > 0).all():
+                return
+            codes, s = _shard(shared.value, gram.astype(np.uint64), n)
+            yield pa.RecordBatch.from_arrays([pa.array([_key(g) for g in codes.tolist()], pa.binary()), pa.array(s)], names=["word", "s"])
+
+        held, size = [], 0
+        for b in batches:
+            gram, n, shard = (b.column(i).to_numpy() for i in range(3))
+            if not len(gram):
+                continue
+            # What is held ends with a whole shard before it is scored.
+            if size + len(gram) > HELD and held:
+                first = int(np.searchsorted(shard, held[-1][2][-1], "right"))
+                if first < len(gram):
+                    yield from scored([*held, (gram[:first], n[:first])])
+                    held, size = [], 0
+                    gram, n, shard = gram[first:], n[first:], shard[first:]
+            held.append((gram, n, shard))
+            size += len(gram)
+        if held:
+            yield from scored(held)
+
+    return both.mapInArrow(run, "word binary, s double")
+
 
 class Model:
-    """The full word counts (a table), and what is broadcast of words and grams."""
+    """The full word and gram counts (tables), and what is broadcast of them."""
 
     def __init__(self, corpus: DataFrame, text: str = "text", max_grams: int = MAX_GRAMS, max_words: int = MAX_WORDS):
         summed = cut(corpus_counts(corpus, text))
@@ -210,9 +274,12 @@ class Model:
         self.tokens, self.distinct, self.ends = n or 0, v, end or 0
         full = summed.filter("gram is not null")
         orders = [F.struct(F.lit(j).alias("o"), F.col("gram").bitwiseAND((1 << 8 * (j + 1)) - 1).alias("g")) for j in range(ORDER + 1)]
-        by_order = cut(full.select(F.explode(F.array(*orders)).alias("x"), "n").groupBy("x.o", "x.g").agg(F.sum("n").alias("n")))
-        kept = by_order.filter(F.col("n") >= _least(by_order, max_grams)).toArrow()
+        by_order = full.select(F.explode(F.array(*orders)).alias("x"), "n").groupBy("x.o", "x.g").agg(F.sum("n").alias("n"))
+        # How often a gram's context is met; one has 256 children at most.
+        by_order = cut(by_order.withColumn("met", F.sum("n").over(Window.partitionBy("o", F.shiftright("g", 8)))))
+        kept = by_order.filter((F.col("met") >= _least(by_order.select(F.col("met").alias("n")), max_grams)) | (F.col("o") <= WHOLE)).select("o", "g", "n").toArrow()
         o, g, n = (kept.column(k).to_numpy() for k in range(3))
+        self.full, self.whole = full.select("gram", "n"), len(o) == by_order.count()
         self.trie = Trie([(g[o == j].astype(np.uint64), n[o == j]) for j in range(ORDER + 1)])
         self.least_word = _least(self.words, max_words)
         hot = self.words.filter(F.col("n") >= self.least_word).toArrow()
@@ -228,23 +295,30 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     results = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     kept = [c for c in docs.columns if c.lower() not in {text.lower(), *results}]
-    shared = docs.sparkSession.sparkContext.broadcast((model.trie, model.hot, np.log10(model.ends + 1.0), int(model.ends > 0)))
+    shared = docs.sparkSession.sparkContext.broadcast((model.trie, model.whole, model.hot, np.log10(model.ends + 1.0), int(model.ends > 0)))
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__own"), F.col(text).alias("__text"))
     schema = T.StructType([
         T.StructField("__row", T.LongType()), T.StructField("__own", rows.schema["__own"].dataType), T.StructField("word", T.BinaryType()), T.StructField("k", T.LongType()),
         T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()),
+        T.StructField("gram", T.LongType()),
     ])
 
     def run(batches):
         import pyarrow as pa
 
-        trie, hot, end_log, end_known = shared.value
+        trie, whole, hot, end_log, end_known = shared.value
         for b in batches:
             ids = b.column(0).to_pylist()
             for held in _chunks(b.column(2).to_pylist()):
                 codes, starts = _codes(held)
                 u, back = np.unique(codes, return_inverse=True)
-                scores = np.add.reduceat(trie.log10(u)[back], starts)
+                near = np.ones(len(u), bool) if whole else trie.holds(u)
+                logs = np.zeros(len(u))
+                logs[near] = trie.log10(u[near])
+                scores = np.add.reduceat(logs[back], starts)
+                # Per text of the batch and distinct gram of its tail: how often it stands there.
+                far = np.flatnonzero(~near[back])
+                pair, often = np.unique((np.searchsorted(starts, far, "right") - 1) * len(u) + back[far], return_counts=True)
                 line, word, k, tokens, known, base = [], [], [], [], [], []
                 tail_line, tail_word, tail_k = [], [], []
                 for place, own, _ in held:
@@ -267,25 +341,37 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 m, t = len(line), len(tail_line)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([ids[p] for p in line], pa.int64()), b.column(1).take(pa.array(line)), pa.array(word, pa.binary()), pa.array([0] * m, pa.int64()),
-                    pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores),
+                    pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.nulls(m, pa.int64()),
                 ], names=schema.names)
+                own_type = b.column(1).type
                 if t:
-                    own_type = b.column(1).type
                     yield pa.RecordBatch.from_arrays([
                         pa.array(tail_line, pa.int64()), pa.nulls(t, own_type), pa.array(tail_word, pa.binary()), pa.array(tail_k, pa.int64()),
-                        pa.nulls(t, pa.int64()), pa.nulls(t, pa.int64()), pa.nulls(t, pa.float64()), pa.nulls(t, pa.float64()),
+                        pa.nulls(t, pa.int64()), pa.nulls(t, pa.int64()), pa.nulls(t, pa.float64()), pa.nulls(t, pa.float64()), pa.nulls(t, pa.int64()),
+                    ], names=schema.names)
+                g = len(pair)
+                if g:
+                    gram = u[pair % len(u)].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([ids[held[p][0]] for p in (pair // len(u)).tolist()], pa.int64()), pa.nulls(g, own_type), pa.array([_key(x) for x in gram.tolist()], pa.binary()), pa.array(often, pa.int64()),
+                        pa.nulls(g, pa.int64()), pa.nulls(g, pa.int64()), pa.nulls(g, pa.float64()), pa.nulls(g, pa.float64()), pa.array(gram),
                     ], names=schema.names)
 
     scored = rows.mapInArrow(run, schema)
-    tail = model.words.filter(F.col("n") < model.least_word)
-    met = scored.join(tail.withColumnRenamed("n", "c"), "word", "left")
+    tail = model.words.filter(F.col("n") < model.least_word).select("word", F.col("n").alias("c"), F.lit(None).cast("double").alias("s"))
+    if not model.whole:
+        scored = stored(scored)  # read twice: for the grams that are asked and for the join
+        low = [(model.trie.grams[j], model.trie.counts[j].astype(np.int64)) for j in range(WHOLE + 1)]
+        far = tail_scores(scored.filter("gram is not null").select("gram").distinct(), model.full, low)
+        tail = tail.unionByName(far.select("word", F.lit(None).cast("long").alias("c"), "s"))
+    met = scored.drop("gram").join(tail, "word", "left")
     found = F.col("c").isNotNull()
     sums = met.groupBy("__row").agg(
         F.first("__own", ignorenulls=True).alias("__own"),
         F.sum("n_tokens").alias("n_tokens"),
         (F.sum("known") + F.sum(F.when(found, F.col("k")).otherwise(0))).alias("n_known"),
         (F.sum("base") + F.sum(F.when(found, F.col("k") * F.log10(F.col("c") + 1.0)).otherwise(0.0))).alias("b"),
-        F.sum("score").alias("score"),
+        (F.sum("score") + F.sum(F.when(F.col("s").isNotNull(), F.col("k") * F.col("s")).otherwise(0.0))).alias("score"),
     )
     each = float(np.log10(model.tokens + model.distinct + 1))
     return sums.select("__own.*", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("b") - F.col("n_tokens") * each).alias("base_score"), "score")
