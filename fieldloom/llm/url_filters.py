@@ -5,7 +5,7 @@ its pages, shrunk through beta-binomial priors from the suffix to the registered
 to the host.  Each level's prior is the posterior mean of the level above, without the key's
 own outcomes, with a strength fitted by moments; a page is blocked where even the upper posterior bound of its host's
 share of good pages lies below a threshold.  A host without outcomes has its domain's
-posterior, and with none there the suffix's.
+posterior, with none there the suffix's, and with none there that of all pages.
 
 Outcomes are summed per host before anything is shuffled, so that a host with a third of
 all pages costs one row from each task.  The table of hosts grows with the data and is
@@ -14,6 +14,7 @@ joined by shuffle; Spark may broadcast it only while it measures as small.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -135,8 +136,35 @@ def _prior(above: str, strength: float) -> Column:
     return (F.col(f"{above}_good") - F.col("good") + strength * F.col(f"{above}_prior")) / (rest + strength)
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
-    """Per host of outcomes (host, good of 0 or 1): the posterior mean and sd of its share of good pages."""
+def _posterior(key: str, strength: float) -> list[Column]:
+    """A level's key and the posterior mean and sd of its share of good pages, from (good, n, prior)."""
+    total = F.col("n") + strength
+    mean = (F.col("good") + strength * F.col("prior")) / total
+    return [F.col(key), mean.alias(f"{key}_mean"), F.sqrt(mean * (1 - mean) / (total + 1)).alias(f"{key}_sd")]
+
+
+@dataclass(frozen=True)
+class Reputation:
+    """Posterior mean and sd of the share of good pages: a table for each level, and of all pages."""
+
+    hosts: DataFrame
+    domains: DataFrame
+    suffixes: DataFrame
+    mean: float
+    sd: float
+
+    def of(self, hosts: DataFrame) -> DataFrame:
+        """host, host_mean and host_sd for the distinct values of host, from the nearest level with outcomes."""
+        new = hosts.select("host").distinct().join(self.hosts.select("host"), "host", "left_anti")
+        new = new.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+        # Few suffixes are seen, and one may have most of the hosts.
+        new = new.join(self.domains, "domain", "left").join(F.broadcast(self.suffixes), "suffix", "left")
+        found = [F.coalesce(f"domain_{x}", f"suffix_{x}", F.lit(whole)).alias(f"host_{x}") for x, whole in (("mean", self.mean), ("sd", self.sd))]
+        return self.hosts.unionByName(new.select("host", *found))
+
+
+def reputation(outcomes: DataFrame) -> Reputation:
+    """What outcomes (host, good of 0 or 1) tell of hosts, registered domains and suffixes."""
     hosts = outcomes.filter(F.col("good").isNotNull()).groupBy("host").agg(F.sum("good").cast("double").alias("good"), F.count("*").cast("double").alias("n"))
     hosts = cut(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
     domains = cut(hosts.groupBy("suffix", "domain").agg(F.sum("good").alias("good"), F.sum("n").alias("n")))
@@ -144,14 +172,14 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     whole = suffixes.agg(F.sum("good"), F.sum("n")).first()
     root = ((whole[0] or 0.0) + 1) / ((whole[1] or 0.0) + 2)
     level = suffixes.withColumn("prior", F.lit(root))
+    known = []
     for key, rows in (("suffix", domains), ("domain", hosts)):
         strength = _strength(level)
+        known.append(cut(level.select(_posterior(key, strength))))
         above = level.select(key, F.col("good").alias(f"{key}_good"), F.col("n").alias(f"{key}_n"), F.col("prior").alias(f"{key}_prior"))
         level = cut(rows.join(above, key).withColumn("prior", _prior(key, strength)))
-    strength = _strength(level)
-    total = F.col("n") + strength
-    mean = (F.col("good") + strength * F.col("prior")) / total
-    return level.select("host", "good", "n", mean.alias("host_mean"), F.sqrt(mean * (1 - mean) / (total + 1)).alias("host_sd"))
+    hosts = level.select(_posterior("host", _strength(level)))
+    return Reputation(hosts, known[1], known[0], root, math.sqrt(root * (1 - root) / ((whole[1] or 0.0) + 3)))
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES, least_good: float = LEAST_GOOD) -> DataFrame:
@@ -159,14 +187,14 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, url: str = "url", rules:
 
     outcomes holds labelled pages: url and good (0, 1 or null).  A null url, or one without
     ``://``, has an empty host and path: no rule fits and the empty host's reputation
-    decides.  Hosts without outcomes have no bound and are allowed.  Every row of pages
-    comes back once; columns that bear a result's name are replaced.
+    decides.  Hosts without outcomes have the bound of their domain, else of their suffix,
+    else of all pages.  Every row of pages comes back once; columns that bear a result's name are replaced.
     """
     seen = outcomes.select(host_of(full_text("__url")).alias("host"), "good")
-    known = reputation(seen).select(F.col("host").alias("__host"), F.col("host_mean").alias("__mean"), F.col("host_sd").alias("__sd"))
     names = ("host", "path", "rule", "verdict", "good_mean", "good_bound")
     rows = pages.withColumnRenamed(url, "__url").drop(*names)
     rows = rows.withColumns({"host": host_of(full_text("__url")), "path": path_of(full_text("__url"))}).drop("__url")
+    known = reputation(seen).of(rows).select(F.col("host").alias("__host"), F.col("host_mean").alias("__mean"), F.col("host_sd").alias("__sd"))
     name, decided = rule_of(F.col("host"), F.col("path"), rules)
     out = rows.join(known, F.col("host") == F.col("__host"), "left").drop("__host")
     out = out.withColumns({"rule": name, "good_mean": F.col("__mean"), "good_bound": F.col("__mean") + WIDTH * F.col("__sd")}).drop("__mean", "__sd")
