@@ -118,21 +118,19 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 def confident_patterns(mentions: DataFrame) -> DataFrame:
     """Patterns that discover, each with its best kind, from rows of (pattern, value, kind).
 
-    Each round shuffles rows of the graph that are left: patterns without a single seed
-    value, which can never be confident, leave it first.
+    The whole graph is scored: a pattern without a seed cannot discover, but it counts in
+    the mean of each of its values.  Scores are zero, and have no row, where no seed is near.
     """
-    edges = mentions.filter(F.col("pattern").isNotNull()).select(F.xxhash64("pattern").alias("p"), F.xxhash64("value").alias("v"), "kind").distinct()
-    seeded = edges.groupBy("p").agg(F.count("kind").alias("seeds"), F.count("*").alias("values")).filter("seeds > 0")
-    edges = cut(edges.join(seeded.select("p"), "p"))
+    edges = cut(mentions.filter(F.col("pattern").isNotNull()).select(F.xxhash64("pattern").alias("p"), F.xxhash64("value").alias("v"), "kind").distinct())
     fixed = edges.filter("kind is not null").select("p", F.col("kind").alias("k"), F.lit(1.0).alias("s"))
     free = edges.filter("kind is null").select("p", "v")
     size = cut(edges.groupBy("p").agg(F.count("*").alias("values")))
+    degree = cut(free.groupBy("v").agg(F.count("*").alias("n")))
     scores = fixed
     for _ in range(ROUNDS):
         summed = scores.groupBy("p", "k").agg(F.sum("s").alias("s"))
         confidence = cut(summed.join(size, "p").select("p", "k", (F.col("s") / (F.col("values") + SMOOTH)).alias("c")))
         values = free.join(confidence, "p").groupBy("v", "k").agg(F.sum("c").alias("c"))
-        degree = free.groupBy("v").agg(F.count("*").alias("n"))
         values = values.join(degree, "v").select("v", "k", (F.col("c") / F.col("n")).alias("s"))
         scores = fixed.unionByName(free.join(values, "v").select("p", "k", "s"))
     backed = edges.filter("kind is not null").groupBy("p", F.col("kind").alias("k")).agg(F.count("*").alias("seeds"))
