@@ -100,10 +100,11 @@ def fit(docs: DataFrame, trainable: Column, text: str = "text", lang: str = "lan
     counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang).cast("string")).count().collect()}
     langs = sorted(counts)
     each = max(20, sample_docs // max(1, len(langs)))
-    level = F.pmod(F.xxhash64(F.lit(11), F.col(doc_id)), F.lit(1_000_000))
-    limit = F.lit(0)
+    # 62 bits, so that a language of any size still has about ``each`` rows below its limit.
+    level = F.shiftrightunsigned(F.xxhash64(F.lit(11), F.col(doc_id)), 2)
+    limit = F.lit(0).cast("long")
     for name in langs:
-        limit = F.when(F.col(lang).cast("string") == name, int(1_000_000 * min(1.0, each / counts[name])) + (each >= counts[name])).otherwise(limit)
+        limit = F.when(F.col(lang).cast("string") == name, F.lit(2**62 if each >= counts[name] else 2**62 * each // counts[name]).cast("long")).otherwise(limit)
     sample = rows.filter(level < limit).select(F.col(doc_id).cast("string").alias("d"), F.col(lang).cast("string").alias("l"), F.col(text).alias("t"))
 
     def vectors(batches):
