@@ -4,65 +4,97 @@ Base rules fail documents of few words or of mostly repeated three-word windows.
 method adds minimum-covariance-determinant (MCD) estimates per language and source over
 a vector of transformed statistics, and rejects what lies far by Mahalanobis distance.
 
+A statistic's variance has a floor: differences that small say nothing about quality, so
+that a statistic which is nearly always zero does not make its every mention an outlier.
+The cut is the quantile of the distance's chi-square distribution at a stated share of false
+rejects.  The steps start from medians and median absolute deviations, and go on until no
+determinant falls any more.  Small groups are not switched off: each language and source is
+estimated, and so are its language and all rows together, and an estimate is shrunk towards
+that of the level above as if ``PRIOR_ROWS`` rows of that level belonged to it.
+
 The statistics come from one pass over each whole text and never leave its row, so no
 words are shuffled.  The fit works on a narrow table (keys and six numbers a row): each
-concentration step is two aggregations that combine before their shuffle, so that a hot
-language and source costs one row from each task.  The estimates, some sixty numbers a
-cell, are joined back; they are broadcast only while there are at most
-``BROADCAST_CELLS`` of them, and joined by shuffle (with skew splitting) beyond.
+concentration step is a few aggregations that combine before their shuffle, so that a hot
+language and source costs few rows from each task.  Quantiles are taken exactly over bins
+(1/1024 of a statistic, 1/256 of a doubling of a distance), so they do not depend on how
+rows are dealt.  The estimates, some sixty numbers a cell, are joined back; they are
+broadcast only while there are at most ``BROADCAST_CELLS`` of them, and joined by shuffle
+(with skew splitting) beyond.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import SPACE, cut, full_text, stored
+from fieldloom.llm.common import SPACE, cut, named, packed, stored
 
 #: The statistics, in the order of the vector.
 VECTOR = ("x_word_length", "x_symbols", "x_dup_lines", "x_repeats", "x_upper", "x_marks")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks")
 #: The least standard deviation of each: below, a difference says nothing about quality.
-FLOOR = (0.05, 0.15, 0.15, 0.30, 0.10, 0.10)
-#: Groups with fewer rows than this are pooled by language, and then all together.
-MIN_ROWS = 200
-#: Pools with fewer rows than this give no verdict beyond the base rules.
-MIN_POOL = 20
+FLOOR = (0.08, 0.25, 0.35, 0.60, 0.10, 0.15)
+#: Rows of the level above that an estimate counts as its own.
+PRIOR_ROWS = 100.0
 #: Share of a group's rows that the minimum-determinant subset holds.
 SUBSET = 0.7
-STEPS = 3
-#: Robust distance from which a document is rejected.
-CUTOFF = 24.0
-#: Median of the chi-square distribution with six degrees of freedom (fixed value).
-CHI2_MEDIAN = 5.348
+#: A step counts if it lowers the logarithm of a determinant by more than this.
+PROGRESS = 1e-3
+#: Share of good documents that the cut may reject.
+FALSE_REJECTS = 1e-4
+#: Bins of a statistic, and of a doubling of a squared distance, in quantiles.
+BINS, DISTANCE_BINS = 1024, 256
 BROADCAST_CELLS = 20_000
 
 
+def chi2_share(x: float, freedom: int) -> float:
+    """Chi-square distribution function for an even number of degrees of freedom."""
+    half = x / 2
+    return 1 - math.exp(-half) * sum(half**k / math.factorial(k) for k in range(freedom // 2))
+
+
+def chi2_quantile(share: float, freedom: int) -> float:
+    low, high = 0.0, 1000.0
+    while high - low > 1e-9:
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi2_share(middle, freedom) < share else (low, middle)
+    return high
+
+
+#: Factor from the covariance of the nearest SUBSET to that of all rows of a Gaussian.
+CONSISTENCY = SUBSET / chi2_share(chi2_quantile(SUBSET, len(VECTOR)), len(VECTOR) + 2)
+#: Robust distance from which a document is rejected.
+CUTOFF = chi2_quantile(1 - FALSE_REJECTS, len(VECTOR)) ** 0.5
+
+
 def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and three more counts.
+    """docs with the COUNTS of their texts: words, characters in words, signs, equal lines, words in repeated windows, capitals and marks.
 
     A null text has no words and counts of 0.  Windows of three words are compared by a
-    64-bit hash within their text.
+    64-bit hash within their text.  Columns of docs that bear a count's name are replaced.
     """
-    t = full_text(text)
+    t = F.coalesce(named(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.withColumns({"__w": F.array_remove(F.split(t, SPACE), ""), "__lines": lines})
-    out = out.withColumns({
-        "n_words": F.size("__w").cast("long"),
-        "word_chars": F.length(F.array_join("__w", "")).cast("long"),
-        "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "n_upper": F.regexp_count(t, F.lit(r"[A-Z]")).cast("long"),
-        "n_marks": F.regexp_count(t, F.lit(r"[!?]")).cast("long"),
-        "__g": F.slice(
-            F.transform("__w", lambda w, i: F.xxhash64(w, F.get("__w", i + 1), F.get("__w", i + 2))),
+    out = docs.select(packed(docs, *COUNTS), F.array_remove(F.split(t, SPACE), "").alias("w"), lines.alias("lines"), t.alias("t"))
+    out = out.select(
+        "own",
+        F.size("w").cast("long").alias("n_words"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.regexp_count("t", F.lit(r"[A-Z]")).cast("long").alias("n_upper"),
+        F.regexp_count("t", F.lit(r"[!?]")).cast("long").alias("n_marks"),
+        F.slice(
+            F.transform("w", lambda w, i: F.xxhash64(w, F.get("w", i + 1), F.get("w", i + 2))),
             F.lit(1),
-            F.greatest(F.size("__w") - 2, F.lit(0)),
-        ),
-    }).drop("__lines", "__w")
-    return out.withColumn("n_repeat_words", repeated("__g", 3)).drop("__g")
+            F.greatest(F.size("w") - 2, F.lit(0)),
+        ).alias("g"),
+    )
+    return out.select("own.*", *[repeated("g", 3).alias(c) if c == "n_repeat_words" else c for c in COUNTS])
 
 
 def repeated(grams: str, width: int) -> Column:
@@ -101,98 +133,152 @@ def with_vector(df: DataFrame) -> DataFrame:
     })
 
 
-def _per_cell(df: DataFrame, cells: DataFrame) -> DataFrame:
-    """Join small rows of cells to df; broadcast only behind a check of their number."""
-    few = cells.count() <= BROADCAST_CELLS
-    return df.join(F.broadcast(cells) if few else cells, "__cell", "left")
-
-
 def _cells(stats: DataFrame, lang: str, source: str) -> DataFrame:
-    """Which cell each language and source belongs to: its own, its language's pool or the rest's."""
-    n = stats.groupBy(F.col(lang).alias("__l"), F.col(source).alias("__s")).agg(F.count("*").alias("__n"))
-    small = F.when(F.col("__n") < MIN_ROWS, F.col("__n")).otherwise(0)
-    pools = n.groupBy(F.col("__l").alias("__pl")).agg(F.sum(small).alias("__pool"))
-    n = n.join(pools, F.col("__l").eqNullSafe(F.col("__pl")), "left")
-    key = F.when(F.col("__n") >= MIN_ROWS, F.xxhash64(F.lit(2), F.col("__l").isNull(), F.col("__l"), F.col("__s").isNull(), F.col("__s")))
-    key = key.when(F.col("__pool") >= MIN_ROWS, F.xxhash64(F.lit(1), F.col("__l").isNull(), F.col("__l"))).otherwise(F.lit(0).cast("long"))
-    return n.select("__l", "__s", key.alias("__cell"))
+    """Keys of each language and source: of its own cell, of its language's and of all rows."""
+    pair = stats.select(named(lang).alias("l"), named(source).alias("s")).distinct()
+    own = F.xxhash64(F.lit(2), F.col("l").isNull(), F.col("l"), F.col("s").isNull(), F.col("s"))
+    return pair.select("l", "s", own.alias("c2"), F.xxhash64(F.lit(1), F.col("l").isNull(), F.col("l")).alias("c1"), F.lit(0).cast("long").alias("c0"))
 
 
-def with_cell(df: DataFrame, cells: DataFrame, few: bool, lang: str = "lang", source: str = "source") -> DataFrame:
-    on = F.col(lang).eqNullSafe(F.col("__l")) & F.col(source).eqNullSafe(F.col("__s"))
-    return df.join(F.broadcast(cells) if few else cells, on, "left").drop("__l", "__s")
+def _small(df: DataFrame) -> DataFrame:
+    """A table of cells, marked for broadcast behind a check of its number of rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_CELLS else df
 
 
-def _center(row: str = "") -> list[Column]:
-    return [F.col(x) - F.col(f"__m{i}") for i, x in enumerate(VECTOR)]
+def _off(i: int) -> Column:
+    return F.col(VECTOR[i]) - F.col(f"m{i}")
 
 
 def _distance() -> Column:
     """Squared Mahalanobis distance by the inverse Cholesky factor of the cell."""
-    z = _center()
-    return reduce(add, [F.pow(reduce(add, [F.col(f"__v{i}_{k}") * z[k] for k in range(i + 1)]), F.lit(2.0)) for i in range(len(z))])
+    p = len(VECTOR)
+    return reduce(add, [F.pow(reduce(add, [F.col(f"v{i}_{k}") * _off(k) for k in range(i + 1)]), F.lit(2.0)) for i in range(p)])
 
 
-def _start(stats: DataFrame) -> DataFrame:
-    """Medians and diagonal scales by median absolute deviation: where the steps begin."""
-    p = len(VECTOR)
-    mid = cut(stats.groupBy("__cell").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"__m{i}") for i, x in enumerate(VECTOR)]))
-    off = _per_cell(stats, mid)
-    mad = off.groupBy("__cell").agg(*[F.percentile_approx(F.abs(z), 0.5, 1000).alias(f"__d{i}") for i, z in enumerate(_center())])
-    out = mid.join(mad, "__cell")
-    scale = [F.greatest(1.4826 * F.col(f"__d{i}"), F.lit(FLOOR[i])) for i in range(p)]
-    v = {f"__v{i}_{k}": (1.0 / scale[i] if i == k else F.lit(0.0)) for i in range(p) for k in range(i + 1)}
-    return cut(out.withColumns(v).drop(*[f"__d{i}" for i in range(p)]))
+def _distance_bin() -> Column:
+    return F.floor(F.log2(_distance() + 1e-9) * DISTANCE_BINS).cast("int")
+
+
+def _quantile(bins: DataFrame, share: float) -> DataFrame:
+    """Per cell and k the least bin that with those below holds the share of rows, from rows (cell, k, bin).
+
+    The windows run over the bins of a cell, whose number does not grow with its rows.
+    """
+    counts = bins.groupBy("cell", "k", "bin").agg(F.count("*").alias("n"))
+    each = Window.partitionBy("cell", "k")
+    upto = each.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(each)})
+    return counts.filter(F.col("upto") >= share * F.col("all")).groupBy("cell", "k").agg(F.min("bin").alias("bin"))
+
+
+def _medians(rows: DataFrame, values: list[Column]) -> DataFrame:
+    """Per cell the medians of the values, as q0, q1, ..., to the nearest bin."""
+    each = F.array(*[F.struct(F.lit(k).alias("k"), F.floor(v * BINS).cast("int").alias("bin")) for k, v in enumerate(values)])
+    got = _quantile(rows.select("cell", F.explode(each).alias("x")).select("cell", "x.k", "x.bin"), 0.5)
+    return got.groupBy("cell").agg(*[F.max(F.when(F.col("k") == k, (F.col("bin") + 0.5) / BINS)).alias(f"q{k}") for k in range(len(values))])
 
 
-def _step(stats: DataFrame, cells: DataFrame) -> DataFrame:
-    """One concentration step: moments of the SUBSET of each cell that lies nearest."""
+def _start(rows: DataFrame) -> DataFrame:
+    """Medians and scales by median absolute deviations: where the steps begin."""
+    p = range(len(VECTOR))
+    mid = cut(_medians(rows, [F.col(x) for x in VECTOR]).withColumnsRenamed({f"q{i}": f"m{i}" for i in p}))
+    mad = _medians(rows.join(_small(mid), "cell"), [F.abs(_off(i)) for i in p])
+    out = mid.join(mad, "cell")
+    scale = [F.greatest(1.4826 * F.col(f"q{i}"), F.lit(FLOOR[i])) for i in p]
+    v = [(1.0 / scale[i] if i == k else F.lit(0.0)).alias(f"v{i}_{k}") for i in p for k in range(i + 1)]
+    return cut(out.select("cell", *[f"m{i}" for i in p], *v, F.lit(float("inf")).alias("det")))
+
+
+def _factor(out: DataFrame) -> DataFrame:
+    """The inverse Cholesky factor v of the covariance c, and the logarithm of its determinant."""
     p = len(VECTOR)
-    at = _per_cell(stats, cells).withColumn("__dist", _distance())
-    near = cut(at.groupBy("__cell").agg(F.percentile_approx("__dist", SUBSET, 1000).alias("__q")))
-    inside = _per_cell(at, near).filter("__dist <= __q")
-    sums = [F.count("*").cast("double").alias("__n"), *[F.avg(f"__z{i}").alias(f"__a{i}") for i in range(p)]]
-    sums += [F.avg(F.col(f"__z{i}") * F.col(f"__z{k}")).alias(f"__b{i}_{k}") for i in range(p) for k in range(i + 1)]
-    # Sums are taken about the last centre, which keeps them small.
-    moments = cut(inside.withColumns({f"__z{i}": z for i, z in enumerate(_center())}).groupBy("__cell").agg(*sums).join(cells.select("__cell", *[f"__m{i}" for i in range(p)]), "__cell"))
-    floors = [FLOOR[i] ** 2 for i in range(p)]
-    out = moments.withColumns({f"__c{i}_{k}": F.col(f"__b{i}_{k}") - F.col(f"__a{i}") * F.col(f"__a{k}") + (floors[i] if i == k else 0.0) for i in range(p) for k in range(i + 1)})
-    out = out.withColumns({f"__m{i}": F.col(f"__m{i}") + F.col(f"__a{i}") for i in range(p)})
     for j in range(p):  # Cholesky factor, column by column
-        out = out.withColumn(f"__l{j}_{j}", F.sqrt(F.greatest(F.col(f"__c{j}_{j}") - sum((F.pow(f"__l{j}_{k}", F.lit(2.0)) for k in range(j)), F.lit(0.0)), F.lit(floors[j] / 4))))
-        out = out.withColumns({f"__l{i}_{j}": (F.col(f"__c{i}_{j}") - sum((F.col(f"__l{i}_{k}") * F.col(f"__l{j}_{k}") for k in range(j)), F.lit(0.0))) / F.col(f"__l{j}_{j}") for i in range(j + 1, p)} or {"__done": F.lit(1)})
+        left = reduce(add, [F.pow(f"l{j}_{k}", F.lit(2.0)) for k in range(j)], F.lit(0.0))
+        out = out.withColumn(f"l{j}_{j}", F.sqrt(F.greatest(F.col(f"c{j}_{j}") - left, F.lit(FLOOR[j] ** 2 / 4))))
+        below = {f"l{i}_{j}": (F.col(f"c{i}_{j}") - reduce(add, [F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)], F.lit(0.0))) / F.col(f"l{j}_{j}") for i in range(j + 1, p)}
+        out = out.withColumns(below) if below else out
     for i in range(p):  # its inverse, row by row
-        out = out.withColumns({f"__v{i}_{j}": (1.0 / F.col(f"__l{i}_{i}") if i == j else -sum((F.col(f"__l{i}_{k}") * F.col(f"__v{k}_{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"__l{i}_{i}")) for j in range(i + 1)})
-    return cut(out.select("__cell", *[f"__m{i}" for i in range(p)], *[f"__v{i}_{k}" for i in range(p) for k in range(i + 1)]))
+        inner = [-reduce(add, [F.col(f"l{i}_{k}") * F.col(f"v{k}_{j}") for k in range(j, i)], F.lit(0.0)) / F.col(f"l{i}_{i}") for j in range(i)]
+        out = out.withColumns({f"v{i}_{j}": x for j, x in enumerate([*inner, 1.0 / F.col(f"l{i}_{i}")])})
+    return out.withColumn("det", 2.0 * reduce(add, [F.log(f"l{j}_{j}") for j in range(p)]))
+
+
+def _params() -> list[str]:
+    p = range(len(VECTOR))
+    return ["cell", *[f"m{i}" for i in p], *[f"v{i}_{k}" for i in p for k in range(i + 1)], "det"]
+
+
+def _step(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """One concentration step: number of rows, centre m and covariance c of the SUBSET of each cell that lies nearest."""
+    p = range(len(VECTOR))
+    at = rows.join(_small(cells), "cell").withColumn("bin", _distance_bin())
+    near = cut(_quantile(at.select("cell", F.lit(0).alias("k"), "bin"), SUBSET).select("cell", F.col("bin").alias("last")))
+    inside = at.join(_small(near), "cell").filter("bin <= last").withColumns({f"z{i}": _off(i) for i in p})
+    # Sums are taken about the last centre, which keeps them small.
+    sums = [F.avg(f"z{i}").alias(f"a{i}") for i in p] + [F.avg(F.col(f"z{i}") * F.col(f"z{k}")).alias(f"b{i}_{k}") for i in p for k in range(i + 1)]
+    moments = inside.groupBy("cell").agg(*sums).join(cells.select("cell", *[f"m{i}" for i in p]), "cell")
+    c = {f"c{i}_{k}": CONSISTENCY * (F.col(f"b{i}_{k}") - F.col(f"a{i}") * F.col(f"a{k}")) + (FLOOR[i] ** 2 if i == k else 0.0) for i in p for k in range(i + 1)}
+    return moments.withColumns(c).withColumns({f"m{i}": F.col(f"m{i}") + F.col(f"a{i}") for i in p}).drop(*[f"a{i}" for i in p], *[f"b{i}_{k}" for i in p for k in range(i + 1)])
+
+
+def _converged(rows: DataFrame) -> DataFrame:
+    """Centre and covariance of every cell, after steps until no determinant falls by more than PROGRESS.
+
+    A cell keeps its estimate unless a step lowers its determinant, which the floors bound
+    from below: so the steps end.
+    """
+    p = range(len(VECTOR))
+    moments = [f"m{i}" for i in p] + [f"c{i}_{k}" for i in p for k in range(i + 1)]
+    best = None
+    at = _start(rows)
+    while True:
+        new = cut(_factor(_step(rows, at)).select(*_params(), *[c for c in moments if c[0] == "c"]))
+        if best is None:
+            best = at = new
+            continue
+        old = best.select("cell", *[F.col(c).alias(f"old_{c}") for c in best.columns if c != "cell"])
+        both = new.join(old, "cell").withColumn("better", F.col("det") < F.col("old_det") - PROGRESS)
+        kept = cut(both.select("cell", "better", *[F.when(F.col("better"), F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in best.columns if c != "cell"]))
+        best = at = kept.drop("better")
+        if kept.filter("better").isEmpty():
+            return best.select("cell", *moments)
+
+
+def _shrunk(cells: DataFrame, moments: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Parameters of each own cell, shrunk towards its language's, and that towards all rows'."""
+    p = range(len(VECTOR))
+    names = [f"m{i}" for i in p] + [f"c{i}_{k}" for i in p for k in range(i + 1)]
+    both = moments.join(sizes, "cell")
+    out = cells
+    for level in (0, 1, 2):
+        out = out.join(_small(both.select(F.col("cell").alias(f"c{level}"), F.col("n").alias(f"n{level}"), *[F.col(c).alias(f"{c}_at{level}") for c in names])), f"c{level}")
+    for level in (1, 2):
+        own = F.col(f"n{level}") / (F.col(f"n{level}") + PRIOR_ROWS)
+        out = out.withColumns({f"{c}_at{level}": own * F.col(f"{c}_at{level}") + (1 - own) * F.col(f"{c}_at{level - 1}") for c in names})
+    return _factor(out.select("l", "s", *[F.col(f"{c}_at2").alias(c) for c in names])).select("l", "s", *[c for c in _params() if c not in ("cell", "det")])
 
 
 class Estimates:
-    """Fitted cells: which cell a language and source has, and the estimates of each cell."""
+    """The fitted estimates, one row for each language and source."""
 
-    def __init__(self, cells: DataFrame, params: DataFrame):
-        self.cells, self.params = cells, params
-        self.few = cells.count() <= BROADCAST_CELLS
+    def __init__(self, params: DataFrame):
+        self.params = params
 
     def distance(self, df: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-        """df, which has the vector, with robust_distance; null where the pool is too small."""
-        p = len(VECTOR)
-        at = with_cell(df, self.cells, self.few, lang, source)
-        at = at.join(F.broadcast(self.params) if self.few else self.params, "__cell", "left")
-        at = at.withColumn("robust_distance", F.when(F.col("__rows") >= MIN_POOL, F.sqrt(_distance() / F.col("__scale"))))
-        return at.drop("__cell", "__rows", "__scale", *[f"__m{i}" for i in range(p)], *[f"__v{i}_{k}" for i in range(p) for k in range(i + 1)])
+        """df, which has the vector, with robust_distance."""
+        rows = df.select(packed(df, "robust_distance"), named(lang).alias("lang"), named(source).alias("source"), *VECTOR)
+        on = F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))
+        return rows.join(_small(self.params), on, "left").select("own.*", F.round(F.sqrt(_distance()), 6).alias("robust_distance"))
 
 
 def fit(vectors: DataFrame, lang: str = "lang", source: str = "source") -> Estimates:
     """MCD estimates of a materialised table of vectors, per language and source."""
     cells = cut(_cells(vectors, lang, source))
-    few = cells.count() <= BROADCAST_CELLS
-    stats = with_cell(vectors.select(lang, source, *VECTOR), cells, few, lang, source).drop(lang, source)
-    params = _start(stats)
-    for _ in range(STEPS):
-        params = _step(stats, params)
-    at = _per_cell(stats, params).withColumn("__dist", _distance())
-    scale = at.groupBy("__cell").agg(F.count("*").alias("__rows"), F.greatest(F.percentile_approx("__dist", 0.5, 1000) / CHI2_MEDIAN, F.lit(0.25)).alias("__scale"))
-    return Estimates(cells, cut(params.join(scale, "__cell")))
+    at = vectors.select(named(lang).alias("lang"), named(source).alias("source"), *VECTOR)
+    on = F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))
+    rows = at.join(_small(cells), on).select(F.explode(F.array("c0", "c1", "c2")).alias("cell"), *VECTOR)
+    sizes = cut(rows.groupBy("cell").agg(F.count("*").cast("double").alias("n")))
+    return Estimates(cut(_shrunk(cells, _converged(rows), sizes)))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
@@ -204,24 +290,23 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     Null texts have no words and fail the base rules, as empty ones do.  Null languages
     and sources are groups of their own.  Repeated rows each get the same verdict and
     each count in the estimates.  An empty table gives an empty one.  A column of docs
-    that bears a result's name is replaced by the result.
+    that bears a result's name is replaced by the result; other names, whatever they are, stay.
     """
-    stats = stored(with_vector(text_stats(docs, text)))
-    estimates = fit(stats.select(lang, source, *VECTOR), lang, source)
-    return verdict(stats, estimates, lang, source, cutoff).drop(*VECTOR, "n_upper", "n_marks")
+    rows = docs.select(packed(docs, *COUNTS[:5], "base_failed", "robust_distance", "kept"), named(text).alias("text"), named(lang).alias("lang"), named(source).alias("source"))
+    stats = stored(with_vector(text_stats(rows)).drop("text"))
+    out = verdict(stats, fit(stats), cutoff=cutoff)
+    return out.select("own.*", *COUNTS[:5], "base_failed", "robust_distance", "kept")
 
 
 def verdict(stats: DataFrame, estimates: Estimates, lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
     out = estimates.distance(stats, lang, source).withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("robust_distance"), F.lit(0.0)) <= cutoff))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("robust_distance") <= cutoff))
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:
     """The contract's columns, with the statistics kept narrow so that texts are read once."""
-    keys = ["doc_id", "lang", "source"]
-    stats = cut(with_vector(text_stats(docs.select(*keys, "text"))).drop("text"))
-    out = verdict(stats, fit(stats))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "robust_distance")
+    stats = cut(with_vector(text_stats(docs.select("doc_id", "lang", "source", "text"))).drop("text"))
+    return verdict(stats, fit(stats)).select("doc_id", *COUNTS[:5], "base_failed", "kept", "robust_distance")
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", doc_id: str = "doc_id", cutoff: float = CUTOFF) -> DataFrame:
@@ -229,11 +314,12 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
 
     Texts are analysed once into a narrow table; only the keys of rejected rows (the id and
     a hash of text, language and source) meet the texts again.  Rows that agree in all of
-    these share their verdict.
+    these share their verdict, nulls included; an empty table gives an empty one.
     """
-    key = F.xxhash64(full_text(text), F.col(lang).isNull(), F.col(lang), F.col(source).isNull(), F.col(source))
-    narrow = docs.select(F.col(doc_id).alias("__id"), key.alias("__key"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
+    l, s = named(lang), named(source)
+    keys = [named(doc_id).alias("id"), F.xxhash64(F.coalesce(named(text), F.lit("")), l.isNull(), l, s.isNull(), s).alias("key")]
+    rows = docs.select(packed(docs), *keys)
+    narrow = docs.select(*keys, l.alias("lang"), s.alias("source"), named(text).alias("text"))
     stats = cut(with_vector(text_stats(narrow)).drop("text"))
-    gone = verdict(stats, fit(stats), cutoff=cutoff).filter(~F.col("kept")).select("__id", "__key")
-    rows = docs.withColumn("__own", key)
-    return rows.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left_anti").drop("__own")
+    gone = verdict(stats, fit(stats), cutoff=cutoff).filter(~F.col("kept")).select(F.col("id").alias("i"), F.col("key").alias("k"))
+    return rows.join(gone, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left_anti").select("own.*")
