@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import full_text
+from fieldloom.llm.common import named, packed
 from fieldloom.llm.quality_rules import VECTOR, text_stats, with_vector
 
 #: The transformed statistics of the classifier.
@@ -25,20 +25,26 @@ FEATURES = (*VECTOR, "x_words", "x_separators")
 POOLED, DIAGONAL = 0.15, 0.10
 #: Least variance of a statistic.
 RIDGE = 1e-3
-#: Width in log density over which the score turns from 0 to 1.
-TEMPERATURE = 8.0
+#: The log densities' difference is taken a statistic (over their number): statistics that
+#: depend on each other beyond a Gaussian's covariance would else count several times.
+TEMPERATURE = float(len(FEATURES))
 #: Pseudo-labels that pull the prior odds to 1.
 PRIOR_ROWS = 2.0
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with FEATURES in place of the text; a null text counts as an empty one."""
-    out = text_stats(docs.withColumn("__separators", F.regexp_count(full_text(text), F.lit(r"[|=_/\\]"))), text)
-    out = with_vector(out).withColumns({
+    """docs with FEATURES in place of the text; a null text counts as an empty one.
+
+    Columns of docs that bear a feature's name are replaced; other names, whatever they
+    are, stay.
+    """
+    t = F.coalesce(named(text), F.lit(""))
+    rows = docs.select(packed(docs, text, *FEATURES), t.alias("text"), F.regexp_count(t, F.lit(r"[|=_/\\]")).alias("separators"))
+    out = with_vector(text_stats(rows)).withColumns({
         "x_words": F.log1p("n_words"),
-        "x_separators": F.log1p(50.0 * F.col("__separators") / (F.col("word_chars") + 1.0)),
+        "x_separators": F.log1p(50.0 * F.col("separators") / (F.col("word_chars") + 1.0)),
     })
-    return out.drop("__separators", text)
+    return out.select("own.*", *FEATURES)
 
 
 class Discriminant:
