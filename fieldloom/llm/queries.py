@@ -143,7 +143,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldloom.llm.url_filters import filter_urls, page_outcome
 
     pages = table(spark, sf_dir, "pages")
-    outcomes = pages.select(F.col("url").alias("__url"), page_outcome(F.col("html"), F.col("url")).alias("good"))
+    outcomes = pages.select("url", page_outcome(F.col("html"), F.col("url")).alias("good"))
     return filter_urls(pages.select("page_id", "url"), outcomes)
 
 
