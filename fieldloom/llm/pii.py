@@ -3,9 +3,13 @@
 Seeds are what fixed expressions find: emails, IPv4 addresses, payment cards, phone
 numbers, and long hexadecimal strings (kind ``secret``).  Every mention that looks like an
 identifier, seed or not, has a lexical pattern: the two words and signs before it, in
-lower case, digits as 0.  Patterns and the values that stand in them form a graph, which
-is scored in ``ROUNDS`` rounds: a pattern's confidence in a kind is the smoothed mean of
-its values' scores, and a value that is no seed has the mean of its patterns' confidences.
+lower case, digits as 0.  Mentions are runs of digit groups ("030 123 45 67"), and unbroken
+runs of six or more characters of an identifier with a digit among them; names without any
+digit are none.  Patterns and the values that stand in them form a graph, which is scored
+in ``ROUNDS`` rounds: a pattern's confidence in a kind is the smoothed mean of its values'
+scores, and a value that is no seed has the mean of its patterns' confidences.  The rounds
+are the distance that evidence travels.  They are few on purpose: at the fixed point a
+pattern with five seeds and a million values that stand nowhere else would be confident.
 A mention that is no seed is discovered where its pattern is confident and is backed by
 enough different seeds.
 
@@ -19,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import ascii_lower, cut, full_text
+from fieldloom.llm.common import ascii_lower, cut, named, packed
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
@@ -33,14 +37,19 @@ PATTERNS = {
 }
 #: What must be in a text for a kind to be looked for.
 NEEDS = {"email": "@", "phone": "+"}
-#: A mention: at least six characters of an identifier, one a digit, not inside a longer one.
-MENTION = r"(?<![A-Za-z0-9._+@/-])(?=[A-Za-z._+@/-]*+[0-9])[A-Za-z0-9][A-Za-z0-9._+@/-]{5,}+"
+#: A mention: an international number, digit groups, or at least six characters of an
+#: identifier, one a digit, not inside a longer one.
+MENTION = (
+    r"\+[0-9][\x20().0-9-]++(?<=[0-9])"
+    r"|(?<![A-Za-z0-9._+@/-])(?=[0-9()\x20-]{6})\(?[0-9]{2,}+\)?+(?:[\x20-]\(?[0-9]{2,}+\)?+)++(?![A-Za-z0-9@/_])"
+    r"|(?<![A-Za-z0-9._+@/-])(?=[A-Za-z._+@/-]*+[0-9])[A-Za-z0-9][A-Za-z0-9._+@/-]{5,}+"
+)
 #: A seed of kind secret: 32 hexadecimal characters or more, letters and digits.
 SECRET = r"^(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{32,}+$"
 #: A part of at most 255, leading zeros included.
 PART = r"(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)|0++)"
-#: Characters before a mention that its pattern is taken from.
-REACH = 80
+#: A pattern of more characters (a giant word) is kept as its hash.
+LONG = 200
 ROUNDS = 3
 #: Pseudo-values without the kind that a pattern starts with.
 SMOOTH = 1.0
@@ -65,19 +74,27 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def _spans(text: Column, pattern: str, kind: int, valid, context: bool = False) -> Column:
-    """All valid matches in order, with code point offsets and, if asked, the text before."""
+    """All valid matches in order, with code point offsets and, if asked, the words before.
+
+    The words before are the last two of all that stands before, earlier matches included,
+    and what touches the match.
+    """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast(_SPAN).alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), F.lit(None).cast(_SPAN).alias("out"))
     pairs = F.zip_with(pieces, matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
 
+    def last_words(x: Column) -> Column:
+        return F.substring_index(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " "), " ", -3)
+
     def add(s: Column, x: Column) -> Column:
         at = s["at"] + F.length(x["p"])
         end = at + F.coalesce(F.length(x["m"]), F.lit(0))
-        before = F.substring(x["p"], -REACH, REACH) if context else F.lit(None).cast("string")
+        before = last_words(F.concat(s["tail"], x["p"])) if context else F.lit(None).cast("string")
+        tail = last_words(F.concat(s["tail"], x["p"], F.coalesce(x["m"], F.lit("")))) if context else s["tail"]
         span = F.struct(F.lit(kind).alias("kind"), at.alias("start"), end.alias("end"), x["m"].alias("value"), before.alias("before"))
         some = F.coalesce(s["out"], F.array().cast(_SPAN))
-        return F.struct(end.alias("at"), F.when(x["m"].isNotNull() & valid(x["m"]), F.concat(some, F.array(span))).otherwise(some).alias("out"))
+        return F.struct(end.alias("at"), tail.alias("tail"), F.when(x["m"].isNotNull() & valid(x["m"]), F.concat(some, F.array(span))).otherwise(some).alias("out"))
 
     return F.when(F.size(matches) > 0, F.aggregate(pairs, start, add)["out"]).otherwise(F.array().cast(_SPAN))
 
@@ -93,26 +110,25 @@ def base_spans(text: Column) -> Column:
 
 def _pattern(before: Column) -> Column:
     """The last two words before a mention and the signs that touch it, or null if there are none."""
-    tail = F.regexp_extract(F.regexp_replace(ascii_lower(before), "[0-9]", "0"), r"(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){0,2}+[^\x20\x09-\x0D]*+$", 0)
-    last = F.regexp_replace(tail, r"[\x20\x09-\x0D]+", " ")
-    return F.when(last != "", last)
+    last = F.ltrim(F.regexp_replace(ascii_lower(before), "[0-9]", "0"))
+    return F.when(F.length(last) > LONG, F.xxhash64(last).cast("string")).when(last != "", last)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with base (spans) and mentions (pattern, value, kind or null, start, end)."""
-    t = full_text(text)
-    rows = docs.withColumns({"__digits": t.rlike("[0-9]"), "__t": t})
-    rows = rows.withColumn("base", F.when(F.col("__digits") | F.contains("__t", F.lit("@")), base_spans(F.col("__t"))).otherwise(F.array().cast(_SPAN)))
-    found = F.when(F.col("__digits"), _spans(F.col("__t"), MENTION, -1, lambda m: F.lit(True), context=True)).otherwise(F.array().cast(_SPAN))
-    rows = rows.withColumn("__found", found)
+    """own (the columns of docs but the text and the results), base (spans) and mentions (pattern, value, kind or null, start, end)."""
+    rows = docs.select(packed(docs, text, "base", "mentions", "spans"), F.coalesce(named(text), F.lit("")).alias("t"))
+    rows = rows.withColumn("digits", F.col("t").rlike("[0-9]"))
+    rows = rows.withColumn("base", F.when(F.col("digits") | F.contains("t", F.lit("@")), base_spans(F.col("t"))).otherwise(F.array().cast(_SPAN)))
+    found = F.when(F.col("digits"), _spans(F.col("t"), MENTION, -1, lambda m: F.lit(True), context=True)).otherwise(F.array().cast(_SPAN))
+    rows = rows.withColumn("found", found)
 
     def mention(x: Column) -> Column:
-        own = F.filter("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
-        kind = F.when(F.size(own) > 0, F.get(own, F.lit(0))["kind"]).when(x["value"].rlike(SECRET), F.lit(KINDS.index("secret")))
+        over = F.filter("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
+        kind = F.when(F.size(over) > 0, F.get(over, F.lit(0))["kind"]).when(x["value"].rlike(SECRET), F.lit(KINDS.index("secret")))
         return F.struct(_pattern(x["before"]).alias("pattern"), x["value"].alias("value"), kind.alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
 
-    kept = F.filter(F.transform("__found", mention), lambda m: m["pattern"].isNotNull() | m["kind"].isNotNull())
-    return rows.withColumn("mentions", kept).drop("__digits", "__t", "__found")
+    kept = F.filter(F.transform("found", mention), lambda m: m["pattern"].isNotNull() | m["kind"].isNotNull())
+    return rows.select("own", "base", kept.alias("mentions"))
 
 
 def confident_patterns(mentions: DataFrame) -> DataFrame:
@@ -148,7 +164,7 @@ def discover(scanned: DataFrame, row: str) -> DataFrame:
     seed = each.filter(F.col("kind") == KINDS.index("secret")).select(row, F.col("kind").alias("k"), "start", "end", "value")
     spans = new.select(row, "k", "start", "end", "value").unionByName(seed)
     span = F.struct(F.col("k").alias("kind"), "start", "end", "value", F.lit(None).cast("string").alias("before"))
-    return spans.groupBy(row).agg(F.collect_set(span).alias("__more"))
+    return spans.groupBy(row).agg(F.collect_set(span).alias("more"))
 
 
 def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -157,16 +173,11 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     Kinds are numbers into KINDS; offsets are code points, the end exclusive.  Null texts
     are empty ones and have no spans; repeated rows each keep their row and their spans;
     an empty table gives an empty one.  Columns of docs that bear a result's name are
-    replaced.
+    replaced; other names, whatever they are, stay.
     """
-    rows = scan(docs.drop("base", "mentions", "spans"), text).drop(text)
-    rows = cut(rows.withColumn("__row", F.monotonically_increasing_id()))
-    return _with_spans(rows).drop("__row", "mentions", "__more")
-
-
-def _with_spans(rows: DataFrame) -> DataFrame:
-    out = rows.join(discover(rows, "__row"), "__row", "left")
-    return out.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("__more", F.array().cast(_SPAN)))))
+    rows = cut(scan(docs, text).withColumn("row", F.monotonically_increasing_id()))
+    out = rows.join(discover(rows, "row"), "row", "left")
+    return out.select("own.*", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPAN)))).alias("spans"))
 
 
 def listed(spans: str) -> Column:
@@ -183,20 +194,23 @@ def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     """docs, whole rows, with every span of the text replaced by its kind in brackets.
 
     Overlapping spans become one, named after the first.  The spans come back to their
-    texts by id and a hash of the text, so that repeated rows share theirs.
+    texts by id and a hash of the text, so that repeated rows share theirs.  Null texts stay
+    null, empty ones empty; an empty table gives an empty one; other columns stay.
     """
-    narrow = docs.select(F.col(doc_id).alias("__id"), F.xxhash64(full_text(text)).alias("__th"), F.col(text).alias("__text")).filter(F.col("__text").isNotNull())
-    found = find_pii(narrow, "__text").filter(F.size("spans") > 0)
-    found = found.groupBy("__id", "__th").agg(F.first("spans").alias("__spans"))
-    out = docs.withColumn("__h", F.xxhash64(full_text(text))).join(found, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
+    keys = [named(doc_id).alias("id"), F.xxhash64(F.coalesce(named(text), F.lit(""))).alias("hash")]
+    found = find_pii(docs.select(*keys, named(text).alias("t")).filter("t is not null"), "t").filter(F.size("spans") > 0)
+    found = found.groupBy(F.col("id").alias("i"), F.col("hash").alias("h")).agg(F.first("spans").alias("spans"))
+    own = F.struct(*[named(c) for c in docs.columns]).alias("own")
+    out = docs.select(own, *keys, named(text).alias("t")).join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")), "left")
     names = F.array(*map(F.lit, KINDS))
-    by_start = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    t = F.col(text)
+    t = F.col("t")
 
     def add(s: Column, x: Column) -> Column:
         fresh = F.array(F.substring(t, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.concat(F.lit("["), F.get(names, x["kind"]), F.lit("]")))
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], F.concat(s["out"], fresh)).otherwise(s["out"]).alias("out"))
 
     done = F.aggregate(by_start, start, add, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(t, (s["at"] + 1).cast("int"), F.length(t))))
-    return out.withColumn(text, F.when(F.size("__spans") > 0, done).otherwise(t)).drop("__h", "__id", "__th", "__spans")
+    clean = F.when(F.size("spans") > 0, done).otherwise(t)
+    return out.select(*[clean.alias(c) if c == text else F.col("own")[c].alias(c) for c in docs.columns])
