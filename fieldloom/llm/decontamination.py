@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import ascii_lower, cut, full_text
+from fieldloom.llm.common import ascii_lower, cut, named, packed
 
 #: What separates words: all ASCII but digits and letters (fixed value).
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -35,13 +35,17 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), NO_WORD), "")
 
 
+def _full(text: str) -> Column:
+    return F.coalesce(named(text), F.lit(""))
+
+
 def anchors(benchmark: DataFrame, docs: DataFrame, text: str = "text", item_id: str = "item_id", window: int = WINDOW) -> DataFrame:
     """One row per anchor: its word, its item, the words left (nearest first) and right, and the run needed."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), tokens(full_text(text)).alias("w")).filter(F.size("w") > 0)
+    items = benchmark.select(named(item_id).cast("string").alias("item"), tokens(_full(text)).alias("w")).filter(F.size("w") > 0)
     items = cut(items.groupBy("w").agg(F.collect_set("item").alias("items")).withColumn("n", F.size("w")))
     vocabulary = items.select(F.explode("w").alias("word")).distinct()
     few = vocabulary.count() <= BROADCAST_ANCHORS
-    seen = docs.select(F.explode(tokens(full_text(text))).alias("word"))
+    seen = docs.select(F.explode(tokens(_full(text))).alias("word"))
     counts = cut(seen.join(F.broadcast(vocabulary) if few else vocabulary, "word").groupBy("word").agg(F.count("*").alias("seen")))
     key = items.select(F.xxhash64("w").alias("key"), "w", "n", "items")
     places = key.select("key", "n", F.posexplode("w").alias("at", "word")).join(F.broadcast(counts) if few else counts, "word", "left")
@@ -78,7 +82,7 @@ def _common(a: str, b: str) -> Column:
 def occurrences(docs: DataFrame, found: DataFrame, keys: list[Column], text: str = "text", window: int = WINDOW) -> DataFrame:
     """Verified hits: the keys of the document, the items and the first and last word of the run."""
     few = found.count() <= BROADCAST_ANCHORS
-    words = docs.select(*keys, tokens(full_text(text)).alias("__w"))
+    words = docs.select(*keys, tokens(_full(text)).alias("__w"))
     names = words.columns[:-1]
     rows = words.select(*names, "__w", F.size("__w").alias("__n"), F.posexplode("__w").alias("__at", "__word"))
     rows = rows.withColumns({"__next": F.get("__w", F.col("__at") + 1), "__prev": F.when(F.col("__at") > 0, F.get("__w", F.col("__at") - 1))})
@@ -111,7 +115,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
     Items without an id hit words but are not listed.  Repeated rows, which agree in id
     and text, share one row here.
     """
-    keys = [F.col(doc_id).alias("__id"), F.xxhash64(full_text(text)).alias("__th")]
+    keys = [named(doc_id).alias("__id"), F.xxhash64(_full(text)).alias("__th")]
     found = cut(anchors(benchmark, docs, text, item_id, window))
     hits = occurrences(docs, found, keys, text, window)
     spans = F.sort_array(F.collect_set(F.struct("first", "last")))
@@ -122,11 +126,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
     """docs, whole rows, with n_words, n_hit, n_items, items, spans and contaminated.
 
     Every row of docs comes back once; columns of docs that bear a result's name are
-    replaced; an empty benchmark or table gives rows without hits, or no rows.
+    replaced, other names, whatever they are, stay; an empty benchmark or table gives rows
+    without hits, or no rows.
     """
-    hits = contamination(docs, benchmark, text, doc_id, item_id, window)
     names = ("n_words", "n_hit", "n_items", "items", "spans", "contaminated")
-    rows = docs.drop(*names).withColumns({"__dh": F.xxhash64(full_text(text)), "n_words": F.size(tokens(full_text(text))).cast("long")})
-    out = rows.join(hits, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__dh") == F.col("__th")), "left").drop("__dh", "__id", "__th")
+    rows = docs.select(packed(docs, *names), named(doc_id).alias("id"), F.xxhash64(_full(text)).alias("hash"), F.size(tokens(_full(text))).cast("long").alias("n_words"))
+    hits = contamination(docs, benchmark, text, doc_id, item_id, window)
+    out = rows.join(hits, F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__th")), "left")
     out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>"))})
-    return out.withColumns({"n_items": F.size("items").cast("long"), "contaminated": F.col("n_hit") > 0})
+    return out.select("own.*", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", window: int = WINDOW) -> DataFrame:
+    """docs, whole rows and columns, without those in which a window of an item occurs.
+
+    Null and empty texts stay; rows that agree in id and text share their verdict; an empty
+    benchmark takes nothing.
+    """
+    hits = contamination(docs, benchmark, text, doc_id, item_id, window).select("__id", "__th")
+    rows = docs.select(packed(docs), named(doc_id).alias("id"), F.xxhash64(_full(text)).alias("hash"))
+    return rows.join(hits, F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__th")), "left_anti").select("own.*")
