@@ -6,9 +6,10 @@ language's sample is clustered (spherical k-means) into several centroids; a tex
 the language of the centroid with the largest cosine, and is marked as rejected where
 even that one lies farther off than nearly all of the language's own sample.
 
-The classifier is fitted on a bounded sample of labelled rows (``SAMPLE_DOCS`` in all,
-shared equally by the languages); prediction is a map over whole texts without a shuffle.
-The model that is broadcast has ``CLUSTERS`` x ``SLOTS`` numbers a language.
+The classifier is fitted on a bounded sample of labelled rows (``SAMPLE_DOCS`` in all, shared
+equally by the languages, but ``LEAST_DOCS`` each at least); prediction is a map over whole
+texts without a shuffle.  The model that is broadcast has ``CLUSTERS`` x ``SLOTS`` numbers, 64 KB,
+a language, for ``MOST_LANGUAGES`` at most: more values in that column are no languages, and raise.
 """
 
 from __future__ import annotations
@@ -17,14 +18,17 @@ import re
 
 import numpy as np
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldloom.llm.common import named, packed
+
 SLOTS = 4096
 CLUSTERS = 4
-#: The bound of the sample that the classifier is fitted on, in documents (expected number).
-SAMPLE_DOCS = 3000
+#: The bound of the sample that the classifier is fitted on, in documents: in all, but each language may have the least.
+SAMPLE_DOCS, LEAST_DOCS = 3000, 20
+MOST_LANGUAGES = 2000
 #: The sample's distances within which a text is accepted, as a quantile, and the slack over it.
 RADIUS, SLACK = 0.995, 1.25
 #: Sharpness of the score over the languages' best cosines.
@@ -95,17 +99,25 @@ class Model:
 
 
 def fit(docs: DataFrame, trainable: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model from a bounded sample of the trainable rows with a language and a letter."""
-    rows = docs.filter(trainable & F.col(lang).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang).cast("string")).count().collect()}
+    """A model from a bounded sample of the trainable rows with a language and a letter.
+
+    Rows without a text or a language teach nothing.  A language's sample are the rows with
+    its lowest hashes of id and text, rows that agree in both counting once: so it does not
+    depend on how rows are dealt.  An empty table gives a model that knows no language.
+    """
+    rows = docs.filter(trainable).select(named(lang).cast("string").alias("l"), named(text).alias("t"), F.xxhash64(F.lit(11), named(doc_id), named(text)).alias("h")).filter("l is not null")
+    counts = {r[0]: r[1] for r in rows.groupBy("l").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     langs = sorted(counts)
-    each = max(20, sample_docs // max(1, len(langs)))
-    # 62 bits, so that a language of any size still has about ``each`` rows below its limit.
-    level = F.shiftrightunsigned(F.xxhash64(F.lit(11), F.col(doc_id)), 2)
+    each = max(LEAST_DOCS, sample_docs // max(1, len(langs)))
+    # Of 62 bits, so that a language of any size has about twice ``each`` rows below its limit.
     limit = F.lit(0).cast("long")
     for name in langs:
-        limit = F.when(F.col(lang).cast("string") == name, F.lit(2**62 if each >= counts[name] else 2**62 * each // counts[name]).cast("long")).otherwise(limit)
-    sample = rows.filter(level < limit).select(F.col(doc_id).cast("string").alias("d"), F.col(lang).cast("string").alias("l"), F.col(text).alias("t"))
+        limit = F.when(F.col("l") == name, F.lit(2**62 if 2 * each >= counts[name] else 2**62 * 2 * each // counts[name]).cast("long")).otherwise(limit)
+    low = rows.filter(F.shiftrightunsigned("h", 2) < limit).dropDuplicates(["l", "h"])
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.shiftrightunsigned("h", 2), "h"))
+    sample = low.withColumn("rank", rank).filter(F.col("rank") <= each).select(F.col("h").cast("string").alias("d"), "l", "t")
 
     def vectors(batches):
         import pyarrow as pa
@@ -136,8 +148,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            got = [shared.value.predict(t or "") for t in b.column(b.num_columns - 1).to_pylist()]
+            got = [shared.value.predict(t or "") for t in b.column(1).to_pylist()]
             found = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *found], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.column(0).flatten(), *found], names=schema.names)
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(packed(docs, text, *(r.name for r in results)), named(text).alias("text")).mapInArrow(run, schema)

@@ -17,9 +17,10 @@ from collections.abc import Iterator
 
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldloom.llm.common import named, packed
+
 #: Fixed value: the pattern that splits text before byte-level merges.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries that a worker's cache holds beside the broadcast table before it is emptied.
@@ -136,10 +137,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text: str = "text", limit
 
         counter = Counter(tokenizer_path, frequent.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             n = counter.count(texts)
-            columns = [*batch.columns[:-1], pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
+            columns = [*batch.column(0).flatten(), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text).alias("__text"))
+    rows = docs.select(packed(docs, text, "n_bytes", "n_tokens", "over_limit"), named(text).alias("text"))
     return rows.mapInArrow(run, schema)
