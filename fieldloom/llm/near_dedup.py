@@ -19,8 +19,8 @@ whole set, rather than a share of it, so that short documents leave no register
    full sets, and verified.  So no link is lost, and the pairs within a group of copies,
    which are already connected, never appear.
 
-Every step is a join or an aggregation on ids or keys; a key or a centre that a third of
-all rows share is combined before its shuffle or split at run time.
+Every step is a join or an aggregation on ids or keys.  A set, a key or a centre that a
+third of all rows share is combined before its shuffle, and salted where it is joined.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldloom.llm.common import cut, full_text
+from fieldloom.llm.common import cut, named, packed, salted_join
 
 BUCKETS, ROWS = 128, 4
 #: Bits kept after the leading one of a register's minimum.
@@ -128,20 +128,20 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 
 
 def _sketches(docs: DataFrame, width: int) -> DataFrame:
-    """Per document its id, set size, the set's fingerprint, registers and band keys."""
-    schema = T.StructType([docs.schema[0], T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("regs", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    """Per document (id, hash, text) its id, hash, set size, the set's fingerprint, registers and band keys."""
+    schema = T.StructType([docs.schema["id"], docs.schema["hash"], T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("regs", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches):
         import pyarrow as pa
 
         shingler = Shingler(width)
         for b in batches:
-            sets = (shingler.shingles(t) for t in b.column(1).to_pylist())
+            sets = (shingler.shingles(t) for t in b.column(2).to_pylist())
             rows = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), (r := sketch(s)).tobytes(), band_keys(r)) if len(s) else (0, None, None, None) for s in sets]
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.select("id", "hash", "text").mapInArrow(run, schema)
 
 
 def _least_estimate(percent: int) -> float:
@@ -168,9 +168,10 @@ def _estimated(pairs: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs that 100 * intersection >= percent * union confirms on their full sets."""
+    pairs = cut(pairs)
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+    rows = salted_join(pairs.join(right, "b"), left, "a", "b", pairs.groupBy("a").agg(F.count("*").alias("n"))).select("a", "b", "ta", "tb")
 
     def run(batches):
         import pyarrow as pa
@@ -227,10 +228,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select(F.col("a").alias("id"), F.col("c").alias("component"))
 
 
-def _star(keyed: DataFrame) -> DataFrame:
+def _star(keyed: DataFrame, shared: DataFrame) -> DataFrame:
     """Of each key's classes, the one that meets the most others paired with the rest."""
     centre = keyed.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("low"), "id")).alias("centre"))
-    return keyed.join(centre.select("key", F.col("centre.id").alias("a")), "key").filter("a != id").select("a", F.col("id").alias("b")).distinct()
+    each = salted_join(keyed, centre.select("key", F.col("centre.id").alias("a")), "key", "id", shared)
+    return each.filter("a != id").select("a", F.col("id").alias("b")).distinct()
 
 
 def _apart(keyed: DataFrame, found: DataFrame, asking: DataFrame | None = None) -> DataFrame:
@@ -250,7 +252,7 @@ def _apart(keyed: DataFrame, found: DataFrame, asking: DataFrame | None = None)
     n = F.col("all") - F.col("top.c") if asking is None else F.col("asked")
     mixed = sizes.filter(F.col("top.c") < F.col("all")).filter(n > 0)
     mixed = mixed.select("key", F.col("top.component").alias("major"), F.ceil(n / BLOCK).cast("int").alias("is"), F.ceil(F.col("all") / BLOCK).cast("int").alias("js"))
-    rows = rows.join(mixed, "key")
+    rows = salted_join(rows, mixed, "key", "id", mixed.select("key", (F.col("js") * BLOCK).alias("n")))
     if asking is None:
         rows = rows.withColumn("asks", F.col("component") != F.col("major"))
     own = F.pmod(F.xxhash64(F.lit(5), "id"), F.col("js")).cast("int")
@@ -348,9 +350,8 @@ def _with_end(batches):
 
 
 def _with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    for side in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("regs").alias(f"r{side}")), side)
-    return pairs
+    a, b = (classes.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("regs").alias(f"r{side}")) for side in "ab")
+    return salted_join(pairs.join(b, "b"), a, "a", "b", pairs.groupBy("a").agg(F.count("*").alias("n")))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
@@ -358,30 +359,37 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     Two documents are linked if 100 times their sets' intersection is at least percent
     times their union.  Null and empty texts have no shingles and are linked with
-    nothing; rows that share an id count as one document; rows without an id are linked
-    with nothing, have no component and are kept.  An empty table gives an empty one.
+    nothing; rows that share an id count as one document, each by its own text if that is the
+    set of another, and else by the text whose set has the least fingerprint; rows without
+    an id are linked with nothing, have no component and are kept.  Repeated rows each come
+    back.  An empty table gives an empty one.
     """
-    ids = docs.select(F.col(doc_id).alias("id"), full_text(text).alias("text"))
+    ids = docs.select(named(doc_id).alias("id"), F.coalesce(named(text), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     sketched = cut(_sketches(ids, width))
-    of_set = sketched.filter("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("class"))
-    rows = cut(sketched.drop("keys", "regs").join(of_set, "fp", "left").drop("fp"))
-    own = sketched.filter("id is not null").join(of_set, "fp").filter("id = class").select("id", "n", "regs", "keys")
-    classes = cut(own.dropDuplicates(["id"]))
+    linked = (F.col("n") > 0) & F.col("id").isNotNull()
+    of_set = cut(sketched.filter(linked).groupBy("fp").agg(F.min("id").alias("class"), F.count("*").alias("c")))
+    narrow = sketched.select("id", "n", "fp")
+    rows = salted_join(narrow.filter(linked), of_set.select("fp", "class"), "fp", "id", of_set.select("fp", F.col("c").alias("n"))).drop("fp")
+    rows = cut(rows.unionByName(narrow.filter(~linked).select("id", "n", F.lit(None).cast(rows.schema["class"].dataType).alias("class"))))
+    first = of_set.groupBy(F.col("class").alias("id")).agg(F.min("fp").alias("fp"))
+    classes = cut(sketched.filter(linked).join(first, ["id", "fp"]).select("id", "hash", "n", "regs", "keys").dropDuplicates(["id"]))
 
     keyed = classes.select("id", F.posexplode("keys").alias("band", "key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    keyed = cut(keyed.join(shared, "key"))
+    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
+    hot = shared.select("key", F.col("c").alias("n"))
+    keyed = cut(salted_join(keyed, shared, "key", "id", hot))
     met = keyed.groupBy("id").agg(F.sum(F.col("c") - 1).alias("met"))
     keyed = cut(keyed.drop("c").join(met, "id"))
-    texts = cut(ids.join(met.select("id"), "id").join(classes.select("id"), "id").dropDuplicates(["id"]))
+    texts = cut(ids.join(classes.join(met, "id").select("id", "hash"), ["id", "hash"]).select("id", "text").dropDuplicates(["id"]))
 
-    stars = _estimated(_with_sketches(_star(keyed), classes), percent)
+    classes = classes.select("id", "n", "regs")
+    stars = _estimated(_with_sketches(cut(_star(keyed, hot)), classes), percent)
     found = components(cut(_verified(stars, texts, width, percent)))
-    apart = _apart(keyed, found).join(classes.select("id", "n", "regs"), "id")
+    apart = _apart(keyed, found).join(classes, "id")
     near = _compact(cut(_across(apart, percent, nearest=True)))
     apart = cut(_apart(keyed, found, near.select(F.col("a").alias("id"))))
     sets = _small_sets(texts.join(apart.select("id").distinct(), "id"), width)
-    apart = apart.join(classes.select("id", "n", "regs"), "id").join(sets, "id")
+    apart = apart.join(classes, "id").join(sets, "id")
     found = _merged(found, cut(_verified(_across(apart, percent, nearest=False), texts, width, percent)))
     found = found.withColumnRenamed("id", "class")
     out = rows.join(found, "class", "left")
@@ -392,14 +400,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
     """docs, whole rows, without the near-duplicates: of each component the smallest id stays.
 
-    Only the ids that go meet the texts.  Of rows that share an id one stays; rows without
-    an id all stay.
+    Only the ids that go meet the texts.  Of rows that share an id one stays, the one with
+    the least hash of its columns; rows without an id all stay, and so do null and empty
+    texts; an empty table gives an empty one.  Columns stay, whatever their names are.
     """
-    found = cut(near_duplicates(docs, text, doc_id, width, percent).select(F.col(doc_id).alias("__id"), "kept").filter("__id is not null"))
-    gone = found.filter("not kept").select("__id").distinct()
-    again = found.filter("kept").groupBy("__id").agg(F.count("*").alias("__c")).filter("__c > 1").select("__id")
-    on = F.col(doc_id) == F.col("__id")
-    once = docs.join(gone.unionByName(again), on, "left_anti")
+    found = cut(near_duplicates(docs, text, doc_id, width, percent).select(F.col(doc_id).alias("i"), "kept").filter("i is not null"))
+    gone = found.filter("not kept").select("i").distinct()
+    again = found.filter("kept").groupBy("i").agg(F.count("*").alias("c")).filter("c > 1").select("i")
+    rows = docs.select(packed(docs), named(doc_id).alias("id"))
+    on = F.col("id") == F.col("i")
+    once = rows.join(gone.unionByName(again), on, "left_anti").select("own.*")
     if again.isEmpty():
         return once
-    return once.unionByName(docs.join(again, on, "left_semi").dropDuplicates([doc_id]))
+    one = rows.join(again, on, "left_semi").groupBy("id").agg(F.min_by("own", F.xxhash64("own")).alias("own"))
+    return once.unionByName(one.select("own.*"))
