@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldloom.llm.common import cut, stored
+from fieldloom.llm.common import cut, named, stored
 
 #: Bytes of the longest context.
 ORDER = 5
@@ -37,7 +37,7 @@ MAX_GRAMS, MAX_WORDS = 1_500_000, 400_000
 #: Orders that the trie always holds whole: few byte strings are so short (fixed value).
 WHOLE = 2
 #: Bytes of text that are handled at once, and combined counts that a task holds.
-CHUNK, HELD = 1_500_000, 2_000_000
+CHUNK, HELD = 500_000, 1_000_000
 END = b"\n"
 #: The end of a text as a token of the baseline; no word has a space.
 END_TOKEN = b" "
@@ -127,7 +127,7 @@ def corpus_counts(docs: DataFrame, text: str) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    rows = docs.select(F.col(text).alias("t")).mapInArrow(run, "word binary, gram bigint, n bigint")
+    rows = docs.select(named(text).alias("t")).mapInArrow(run, "word binary, gram bigint, n bigint")
     return rows.groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -296,7 +296,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     results = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     kept = [c for c in docs.columns if c.lower() not in {text.lower(), *results}]
     shared = docs.sparkSession.sparkContext.broadcast((model.trie, model.whole, model.hot, np.log10(model.ends + 1.0), int(model.ends > 0)))
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__own"), F.col(text).alias("__text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*[named(c) for c in kept]).alias("__own"), named(text).alias("__text"))
     schema = T.StructType([
         T.StructField("__row", T.LongType()), T.StructField("__own", rows.schema["__own"].dataType), T.StructField("word", T.BinaryType()), T.StructField("k", T.LongType()),
         T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()),
