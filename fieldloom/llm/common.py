@@ -49,14 +49,17 @@ def packed(df: DataFrame, *replaced: str) -> Column:
 HOT_ROWS, HOT_KEYS = 1000, 50_000
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, spread: str, counts: DataFrame) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, key: str, spread: str, counts: DataFrame, few: int = 0) -> DataFrame:
     """Inner join of big to small, which has one row a key, where one key may have a third of big's rows.
 
+    Up to ``few`` rows of small, whose width must be bounded, are broadcast.  Beyond,
     counts (key, n) tells how many rows of big a key has.  Rows of a hot key are dealt over
     parts by the column ``spread``, and small's row of that key goes to each part.  A key is
     hot if it has more rows than ``HOT_ROWS`` and more than one in ``HOT_KEYS`` of all; so at
     most HOT_KEYS hot keys exist, which are broadcast.
     """
+    if few and small.count() <= few:
+        return big.join(F.broadcast(small), key)
     many = cut(counts.filter(F.col("n") > HOT_ROWS).select(F.col(key).alias("__hot"), F.col("n").alias("__n")))
     rows = many.agg(F.sum("__n")).first()[0]
     if not rows:

@@ -43,6 +43,8 @@ SLACK = 5.0
 BLOCK = 1000
 #: Elements that are hashed at once.
 CHUNK = 8192
+#: Rows of two or three numbers, and of sketches (300 bytes), up to which a table of keys is broadcast.
+FEW, FEW_SKETCHES = 200_000, 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _RNG = np.random.default_rng(20240607)
@@ -231,7 +233,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _star(keyed: DataFrame, shared: DataFrame) -> DataFrame:
     """Of each key's classes, the one that meets the most others paired with the rest."""
     centre = keyed.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("low"), "id")).alias("centre"))
-    each = salted_join(keyed, centre.select("key", F.col("centre.id").alias("a")), "key", "id", shared)
+    each = salted_join(keyed, cut(centre.select("key", F.col("centre.id").alias("a"))), "key", "id", shared, FEW)
     return each.filter("a != id").select("a", F.col("id").alias("b")).distinct()
 
 
@@ -252,7 +254,7 @@ def _apart(keyed: DataFrame, found: DataFrame, asking: DataFrame | None = None)
     n = F.col("all") - F.col("top.c") if asking is None else F.col("asked")
     mixed = sizes.filter(F.col("top.c") < F.col("all")).filter(n > 0)
     mixed = mixed.select("key", F.col("top.component").alias("major"), F.ceil(n / BLOCK).cast("int").alias("is"), F.ceil(F.col("all") / BLOCK).cast("int").alias("js"))
-    rows = salted_join(rows, mixed, "key", "id", mixed.select("key", (F.col("js") * BLOCK).alias("n")))
+    rows = rows.join(mixed, "key")
     if asking is None:
         rows = rows.withColumn("asks", F.col("component") != F.col("major"))
     own = F.pmod(F.xxhash64(F.lit(5), "id"), F.col("js")).cast("int")
@@ -351,7 +353,8 @@ def _with_end(batches):
 
 def _with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     a, b = (classes.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("regs").alias(f"r{side}")) for side in "ab")
-    return salted_join(pairs.join(b, "b"), a, "a", "b", pairs.groupBy("a").agg(F.count("*").alias("n")))
+    counts = cut(pairs.groupBy("a").agg(F.count("*").alias("n")))
+    return salted_join(pairs.join(b, "b"), cut(a.join(counts.select("a"), "a", "left_semi")), "a", "b", counts, FEW_SKETCHES)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
@@ -369,7 +372,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     linked = (F.col("n") > 0) & F.col("id").isNotNull()
     of_set = cut(sketched.filter(linked).groupBy("fp").agg(F.min("id").alias("class"), F.count("*").alias("c")))
     narrow = sketched.select("id", "n", "fp")
-    rows = salted_join(narrow.filter(linked), of_set.select("fp", "class"), "fp", "id", of_set.select("fp", F.col("c").alias("n"))).drop("fp")
+    rows = salted_join(narrow.filter(linked), of_set.select("fp", "class"), "fp", "id", of_set.select("fp", F.col("c").alias("n")), FEW).drop("fp")
     rows = cut(rows.unionByName(narrow.filter(~linked).select("id", "n", F.lit(None).cast(rows.schema["class"].dataType).alias("class"))))
     first = of_set.groupBy(F.col("class").alias("id")).agg(F.min("fp").alias("fp"))
     classes = cut(sketched.filter(linked).join(first, ["id", "fp"]).select("id", "hash", "n", "regs", "keys").dropDuplicates(["id"]))
@@ -377,10 +380,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     keyed = classes.select("id", F.posexplode("keys").alias("band", "key"))
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
     hot = shared.select("key", F.col("c").alias("n"))
-    keyed = cut(salted_join(keyed, shared, "key", "id", hot))
+    keyed = cut(salted_join(keyed, shared, "key", "id", hot, FEW))
     met = keyed.groupBy("id").agg(F.sum(F.col("c") - 1).alias("met"))
     keyed = cut(keyed.drop("c").join(met, "id"))
-    texts = cut(ids.join(classes.join(met, "id").select("id", "hash"), ["id", "hash"]).select("id", "text").dropDuplicates(["id"]))
+    wanted = cut(classes.join(met, "id").select("id", "hash"))
+    texts = ids.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, ["id", "hash"])
+    texts = cut(texts.select("id", "text").dropDuplicates(["id"]))
 
     classes = classes.select("id", "n", "regs")
     stars = _estimated(_with_sketches(cut(_star(keyed, hot)), classes), percent)
