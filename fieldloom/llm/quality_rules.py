@@ -75,44 +75,50 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the COUNTS of their texts: words, characters in words, signs, equal lines, words in repeated windows, capitals and marks.
 
     A null text has no words and counts of 0.  Windows of three words are compared by a
-    64-bit hash within their text.  Columns of docs that bear a count's name are replaced.
+    64-bit hash of their words' hashes within their text.  Columns of docs that bear a count's name are replaced.
     """
     t = F.coalesce(named(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.select(packed(docs, *COUNTS), F.array_remove(F.split(t, SPACE), "").alias("w"), lines.alias("lines"), t.alias("t"))
+    # All characters that are counted, in one pass: what is left is short.
+    signs = F.regexp_replace(t, r"[^#*$%&|<>A-Z!?]+", "")
+    out = docs.select(packed(docs, *COUNTS), F.array_remove(F.split(t, SPACE), "").alias("w"), lines.alias("lines"), signs.alias("signs"))
     out = out.select(
         "own",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.regexp_count("signs", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.regexp_count("t", F.lit(r"[A-Z]")).cast("long").alias("n_upper"),
-        F.regexp_count("t", F.lit(r"[!?]")).cast("long").alias("n_marks"),
-        F.slice(
-            F.transform("w", lambda w, i: F.xxhash64(w, F.get("w", i + 1), F.get("w", i + 2))),
-            F.lit(1),
-            F.greatest(F.size("w") - 2, F.lit(0)),
-        ).alias("g"),
+        F.regexp_count("signs", F.lit(r"[A-Z]")).cast("long").alias("n_upper"),
+        F.regexp_count("signs", F.lit(r"[!?]")).cast("long").alias("n_marks"),
+        F.transform("w", lambda w: F.xxhash64(w)).alias("h"),
     )
+    grams = F.transform("h", lambda h, i: F.xxhash64(h, F.get("h", i + 1), F.get("h", i + 2)))
+    out = out.select("own", *[c for c in COUNTS if c != "n_repeat_words"], F.slice(grams, F.lit(1), F.greatest(F.size("h") - 2, F.lit(0))).alias("g"))
     return out.select("own.*", *[repeated("g", 3).alias(c) if c == "n_repeat_words" else c for c in COUNTS])
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def repeated(grams: str, width: int) -> Column:
     """Positions within windows whose gram occurs twice or more in the array.
 
     Texts without such windows, most of them, stop at one hash set.
     """
     by_gram = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-    starts = F.sort_array(F.transform(
-        F.filter(
-            F.zip_with(by_gram, F.slice(F.concat(F.array(F.lit(None).cast("struct<g:bigint,i:int>")), by_gram), F.lit(1), F.size(grams)), lambda s, p: F.struct(s["i"].alias("i"), F.coalesce(s["g"] == p["g"], F.lit(False)).alias("as_last"), p["i"].alias("p"))),
-            lambda s: s["as_last"],
-        ),
-        lambda s: F.array(s["p"], s["i"]),
-    ))
-    flat = F.sort_array(F.array_distinct(F.flatten(starts)))
-    gaps = F.zip_with(flat, F.slice(flat, F.lit(2), F.size(flat)), lambda a, b: F.coalesce(F.least(b - a, F.lit(width)), F.lit(width)))
-    total = F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+    def starts(b: Column) -> Column:
+        """Places of windows that equal the one beside them in the order by gram."""
+        beside = F.zip_with(b, F.slice(b, F.lit(2), F.size(b)), lambda x, y: F.struct(x["i"].alias("i"), y["i"].alias("j"), F.coalesce(x["g"] == y["g"], F.lit(False)).alias("same")))
+        return F.sort_array(F.array_distinct(F.flatten(F.transform(F.filter(beside, lambda x: x["same"]), lambda x: F.array(x["i"], x["j"])))))
+
+    def covered(at: Column) -> Column:
+        steps = F.zip_with(at, F.slice(at, F.lit(2), F.size(at)), lambda a, b: F.coalesce(F.least(b - a, F.lit(width)), F.lit(width)))
+        return F.aggregate(steps, F.lit(0).cast("long"), lambda total, x: total + x)
+
+    total = _once(_once(by_gram, starts), covered)
     return F.when(F.size(F.array_distinct(grams)) < F.size(grams), total).otherwise(F.lit(0).cast("long"))
 
 
