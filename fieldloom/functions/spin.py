@@ -50,3 +50,38 @@ def times(m: np.ndarray, psi: Tensor) -> Tensor:
 def projector(mu: int, sign: int) -> np.ndarray:
     """1 + sign gamma_mu; mu = 4 is gamma 5."""
     return np.eye(4, dtype=complex) + sign * (GAMMA5 if mu == 4 else GAMMA[mu])
+
+
+#: The flavour matrices sigma_1, sigma_2, sigma_3.
+PAULI = tuple(np.array(m, dtype=complex) for m in ([[0, 1], [1, 0]], [[0, -1j], [1j, 0]], [[1, 0], [0, -1]]))
+
+
+def peek_spin(psi: Tensor, s: int) -> Tensor:
+    """The color vector of one spin component of a 4 x Nc spinor."""
+    return psi.row(s)
+
+
+def poke_spin(psi: Tensor, s: int, colors: Tensor) -> Tensor:
+    return psi.with_row(s, colors)
+
+
+def peek_color(psi: Tensor, c: int) -> Tensor:
+    """The spin vector of one color component."""
+    return psi.column(c)
+
+
+def poke_color(psi: Tensor, c: int, spins: Tensor) -> Tensor:
+    return psi.with_column(c, spins)
+
+
+def half_spinor(mu: int, sign: int, psi: Tensor) -> Tensor:
+    """The upper two rows of (1 + sign gamma_mu) psi: all that the projection holds."""
+    full = times(projector(mu, sign), psi)
+    return Tensor(full.items[: 2 * psi.shape[1]], (2, psi.shape[1]))
+
+
+def full_spinor(mu: int, sign: int, half: Tensor) -> Tensor:
+    """The projected spinor of a half: its lower rows are combinations of the upper ones."""
+    p = projector(mu, sign)
+    lower = np.linalg.lstsq(p[:2].T, p[2:].T, rcond=None)[0].T
+    return Tensor([*half.items, *times(np.round(lower, 12), half).items], (4, half.shape[1]))

@@ -204,6 +204,36 @@ class Tensor:
         image = Tensor.constant(omega) * t.transpose() * Tensor.constant(omega)
         return (t + image).scale(0.5)
 
+    def poke(self, i: int, j: int, value: C) -> Tensor:
+        """The tensor with one component replaced."""
+        return Tensor.build(self.shape, lambda r, c: value if (r, c) == (i, j) else self[r, c])
+
+    def row(self, i: int) -> Tensor:
+        return Tensor([self[i, j] for j in range(self.shape[1])], (1, self.shape[1]))
+
+    def column(self, j: int) -> Tensor:
+        return Tensor([self[i, j] for i in range(self.shape[0])], (self.shape[0], 1))
+
+    def with_row(self, i: int, o: Tensor) -> Tensor:
+        return Tensor.build(self.shape, lambda r, c: o.items[c] if r == i else self[r, c])
+
+    def with_column(self, j: int, o: Tensor) -> Tensor:
+        return Tensor.build(self.shape, lambda r, c: o.items[r] if c == j else self[r, c])
+
+    def equals(self, o: Tensor) -> Column:
+        """Whether all components are equal."""
+        out = F.lit(self.shape == o.shape)
+        for a, b in zip(self.items, o.items, strict=False):
+            out = out & (column(a.re) == column(b.re)) & (column(a.im) == column(b.im))
+        return out
+
+    def real(self) -> Tensor:
+        return self.map(lambda c: C(c.re, 0.0))
+
+    def imag(self) -> Tensor:
+        """The imaginary parts, as real numbers."""
+        return self.map(lambda c: C(c.im, 0.0))
+
     def inner(self, o: Tensor) -> C:
         """Sum over components of conj(a) b."""
         total = C(0.0)
@@ -287,3 +317,47 @@ def _total(xs) -> C:
     for x in xs:
         out = out + x
     return out
+
+
+def mult(a: Tensor, b: Tensor) -> Tensor:
+    return a * b
+
+
+def mac(acc: Tensor, a: Tensor, b: Tensor) -> Tensor:
+    """acc + a b."""
+    return acc + a * b
+
+
+def axpby(a: Part, x: Tensor, b: Part, y: Tensor) -> Tensor:
+    return x.scale(a) + y.scale(b)
+
+
+def to_complex(x: Part) -> Tensor:
+    """A real number as a complex scalar with a zero imaginary part."""
+    return Tensor([C(x)])
+
+
+def to_real(t: Tensor) -> Part:
+    """The real part of a scalar, as a column."""
+    return column(t[0, 0].re)
+
+
+def project_on_sp(m: Tensor) -> Tensor:
+    """A 2n x 2n matrix projected to Sp(2n): its first n rows made orthonormal, the others their Omega images.
+
+    Row i is made orthogonal to the rows before it and to their images, conj(row) Omega.
+    """
+    n = m.shape[0] // 2
+
+    def image(row: list[C]) -> list[C]:
+        return [-(x.conj()) for x in row[n:]] + [x.conj() for x in row[:n]]
+
+    top: list[list[C]] = []
+    for i in range(n):
+        row = [m[i, j] for j in range(2 * n)]
+        for done in [r for t in top for r in (t, image(t))]:
+            along = _dot(done, row)
+            row = [x - along * y for x, y in zip(row, done, strict=True)]
+        size = F.sqrt(column(_dot(row, row).re))
+        top.append([C(column(x.re) / size, column(x.im) / size) for x in row])
+    return Tensor([x for row in [*top, *map(image, top)] for x in row], m.shape)

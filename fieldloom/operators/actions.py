@@ -48,4 +48,4 @@ def mixed_precision_cg(a: Operator, lat: Lattice, b: str, x: str = "x", tol: flo
         lat = a(combine(lat, **{x: {x: 1.0, "__e": 1.0}}), x, "__ax")
         lat = combine(lat, __d={b: 1.0, "__ax": -1.0}).cut()
         history.append(dots(lat, [("__d", "__d")])[0].real)
-    return Solution(lat.keep(*dict.fromkeys([*own, x])), history)
+    return Solution(lat.keep(*dict.fromkeys([*own, x])), history, goal)

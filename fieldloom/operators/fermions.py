@@ -162,3 +162,33 @@ def moebius(links: Sequence[str], m5: float, mass: float, ls: int, b: float, c:
             return got.put(**{out: dx + got.t(source) - got.t("__h")}).keep(*keep)
 
     return _Moebius(walls.wanted, walls.apply)
+
+
+def improved_staggered(d: int, links: Sequence[str], long_links: Sequence[str], mass: float, c1: float, c2: float, dagger: bool = False) -> Operator:
+    """mass f + sum over mu of eta_mu (c1 (U f(x + mu) - U† f(x - mu)) + c2 (W f(x + 3 mu) - W† f(x - 3 mu))) / 2.
+
+    U are fat links and W the three-link products, both given as fields.
+    """
+
+    def wanted(f: str):
+        out = [(f, unit(d, mu, s)) for mu in range(d) for s in (1, -1, 3, -3)]
+        return out + [(links[mu], unit(d, mu, -1)) for mu in range(d)] + [(long_links[mu], unit(d, mu, -3)) for mu in range(d)]
+
+    def apply(lat: Lattice, names: dict, f: str) -> Tensor:
+        out = lat.t(f).scale(mass)
+        for mu in range(d):
+            lower = sum((F.col(f"x{k}") for k in range(mu)), F.lit(0))
+            eta = F.when(F.pmod(lower, F.lit(2)) == 0, 0.5).otherwise(-0.5)
+            step = None
+            for c, n, u in ((c1, 1, links[mu]), (c2, 3, long_links[mu])):
+                part = lat.t(u) * lat.t(names[(f, unit(d, mu, n))]) - lat.t(names[(u, unit(d, mu, -n))]).adj() * lat.t(names[(f, unit(d, mu, -n))])
+                step = part.scale(c) if step is None else step + part.scale(c)
+            out = out + step.scale(-eta if dagger else eta)
+        return out
+
+    return Operator(wanted, apply)
+
+
+def gamma5_hermitian(m: Operator) -> Operator:
+    """gamma5 M: hermitian where M is gamma5-hermitian."""
+    return Operator(m.wanted, lambda lat, names, f: times(GAMMA5, m.apply(lat, names, f)))

@@ -249,3 +249,49 @@ def rectangle_action(lat: Lattice, beta: float, c1: float) -> DataFrame:
     got = loop_averages(lat, p=(1, 1), r=(2, 1))
     plaq = (1 - 8 * c1) * (1 - F.col("p_average")) * (d * (d - 1) / 2)
     return got.select((beta * lat.grid.volume * (plaq + c1 * (1 - F.col("r_average")) * (d * (d - 1)))).alias("action"))
+
+
+def shift_identity_backward(lat: Lattice, mu: int, out: str = "cs") -> Lattice:
+    """U_mu†(x - mu): the backward covariant shift of the identity."""
+    step = tuple(-int(k == mu) for k in range(len(lat.grid.dims)))
+    got, names = lat.gather([(link(mu), step)])
+    return got.put(**{out: got.t(names[(link(mu), step)]).adj()}).keep(*lat.shapes, out)
+
+
+def shift_staple(lat: Lattice, name: str, mu: int, out: str = "shifted") -> Lattice:
+    """A staple, born at the site, as it is at the site ahead in mu."""
+    step = tuple(int(k == mu) for k in range(len(lat.grid.dims)))
+    got, names = lat.gather([(name, step)])
+    return got.put(**{out: got.t(names[(name, step)])}).keep(*lat.shapes, out)
+
+
+def staple_and_rectangle(lat: Lattice, mu: int, out: str = "staple", out_rectangle: str = "rect_staple") -> Lattice:
+    """Plaquette and rectangle staples of a direction."""
+    return rectangle_staple(staple(lat, mu, out), mu, out_rectangle)
+
+
+def clover_leaf(lat: Lattice, mu: int, nu: int, m: int, n: int, out: str = "f") -> Lattice:
+    """Field strength of m x n leaves (and n x m ones where they differ), per unit area."""
+    z = zero(lat)
+    leaves = {}
+    for tag, (a, b) in {f"{m}{n}": (m, n), f"{n}{m}": (n, m)}.items():
+        f, g, p, q = (mu,) * a, (nu,) * b, (back(mu),) * a, (back(nu),) * b
+        leaves |= {f"l{tag}0": (f + g + p + q, z), f"l{tag}1": (g + p + q + f, z), f"l{tag}2": (p + q + f + g, z), f"l{tag}3": (q + f + g + p, z)}
+    got = products(lat, leaves)
+    total = None
+    for name in leaves:
+        total = got.t(name) if total is None else total + got.t(name)
+    return got.put(**{out: (total - total.adj()).scale(0.5 / (len(leaves) * m * n))}).keep(*lat.shapes, out)
+
+
+#: Coefficient of rectangles in the named improved actions.
+NAMED_ACTIONS = {"iwasaki": -0.331, "symanzik": -1.0 / 12.0, "dbw2": -1.4088}
+
+
+def named_action(lat: Lattice, name: str, beta: float) -> DataFrame:
+    return rectangle_action(lat, beta, NAMED_ACTIONS[name])
+
+
+def long_links(lat: Lattice, steps: int = 3) -> Lattice:
+    """Products of ``steps`` links straight ahead, as fields w0, w1, ..."""
+    return products(lat, {f"w{mu}": ((mu,) * steps, zero(lat)) for mu in range(len(lat.grid.dims))})

@@ -108,10 +108,18 @@ def combine(lat: Lattice, **sums: dict[str, complex]) -> Lattice:
 
 @dataclass
 class Solution:
-    """A lattice that holds the solution field, the squared residual norms and the iterations used."""
+    """A lattice that holds the solution field, the squared residual norms, their goal and the iterations used.
+
+    A solver that stops at its largest number of iterations says so: ``converged`` is false.
+    """
 
     lattice: Lattice
     residuals: list[float]
+    goal: float = float("inf")
+
+    @property
+    def converged(self) -> bool:
+        return self.residuals[-1] <= self.goal
 
     @property
     def iterations(self) -> int:
@@ -126,13 +134,14 @@ def conjugate_gradient(a: Operator, lat: Lattice, b: str, x: str = "x", tol: flo
     goal, history = tol * tol * rr, [rr]
     while history[-1] > goal and len(history) <= most:
         lat = a(lat, "__p", "__q").cut()
-        alpha = rr / dots(lat, [("__p", "__q")])[0].real
-        lat = combine(lat, **{x: {x: 1.0, "__p": alpha}, "__r": {"__r": 1.0, "__q": -alpha}})
-        new = dots(lat, [("__r", "__r")])[0].real
-        lat = combine(lat, __p={"__r": 1.0, "__p": new / rr})
+        # One aggregation an iteration: the new residual's norm follows from products of the old one.
+        pq, rq, qq = dots(lat, [("__p", "__q"), ("__r", "__q"), ("__q", "__q")])
+        alpha = rr / pq.real
+        new = max(rr - 2 * alpha * rq.real + alpha * alpha * qq.real, 0.0)
+        lat = combine(lat, **{x: {x: 1.0, "__p": alpha}, "__r": {"__r": 1.0, "__q": -alpha}, "__p": {"__r": 1.0, "__q": -alpha, "__p": new / rr}})
         rr = new
         history.append(rr)
-    return Solution(lat.keep(*dict.fromkeys([*own, x])).cut(), history)
+    return Solution(lat.keep(*dict.fromkeys([*own, x])).cut(), history, goal)
 
 
 def multishift(a: Operator, lat: Lattice, b: str, shifts: Sequence[float], tol: float = 1e-8, most: int = 1000) -> Solution:
@@ -153,7 +162,7 @@ def multishift(a: Operator, lat: Lattice, b: str, shifts: Sequence[float], tol:
         lat = combine(lat, __p={"__r": 1.0, "__p": beta}, **{f"__p{i}": {"__r": z_new[i], f"__p{i}": beta * (z_new[i] / z[i]) ** 2} for i in range(k)})
         z_old, z, alpha_old, beta_old, rr = z, z_new, alpha, beta, new
         history.append(rr)
-    return Solution(lat.keep(*own, *names).cut(), history)
+    return Solution(lat.keep(*own, *names).cut(), history, goal)
 
 
 def conjugate_residual(a: Operator, lat: Lattice, b: str, x: str = "x", tol: float = 1e-8, most: int = 1000) -> Solution:
@@ -171,7 +180,7 @@ def conjugate_residual(a: Operator, lat: Lattice, b: str, x: str = "x", tol: flo
         lat = combine(lat, __p={"__r": 1.0, "__p": new / rar}, __ap={"__ar": 1.0, "__ap": new / rar})
         rar = new
         history.append(rr)
-    return Solution(lat.keep(*dict.fromkeys([*own, x])).cut(), history)
+    return Solution(lat.keep(*dict.fromkeys([*own, x])).cut(), history, goal)
 
 
 def minimal_residual(a: Operator, lat: Lattice, b: str, x: str = "x", tol: float = 1e-8, most: int = 1000, relax: float = 1.0) -> Solution:
@@ -186,7 +195,7 @@ def minimal_residual(a: Operator, lat: Lattice, b: str, x: str = "x", tol: float
         w = relax * qr / qq.real
         lat = combine(lat, **{x: {x: 1.0, "__r": w}, "__r": {"__r": 1.0, "__q": -w}})
         history.append(dots(lat, [("__r", "__r")])[0].real)
-    return Solution(lat.keep(*dict.fromkeys([*own, x])).cut(), history)
+    return Solution(lat.keep(*dict.fromkeys([*own, x])).cut(), history, goal)
 
 
 def bicgstab(a: Operator, lat: Lattice, b: str, x: str = "x", tol: float = 1e-8, most: int = 1000) -> Solution:
@@ -211,7 +220,7 @@ def bicgstab(a: Operator, lat: Lattice, b: str, x: str = "x", tol: float = 1e-8,
         beta = new / rho * alpha / w
         lat = combine(lat, __p={"__r": 1.0, "__p": beta, "__v": -beta * w})
         rho = new
-    return Solution(lat.keep(*dict.fromkeys([*own, x])).cut(), history)
+    return Solution(lat.keep(*dict.fromkeys([*own, x])).cut(), history, goal)
 
 
 def gcr(a: Operator, lat: Lattice, b: str, x: str = "x", tol: float = 1e-8, most: int = 200, restart: int = 8, prepare: Callable[[Lattice, str, str], Lattice] | None = None) -> Solution:
@@ -235,7 +244,7 @@ def gcr(a: Operator, lat: Lattice, b: str, x: str = "x", tol: float = 1e-8, most
         if k == restart:
             k, norms = 0, []
             lat = lat.keep(*own, *({x} - set(own)), "__r").cut()
-    return Solution(lat.keep(*dict.fromkeys([*own, x])).cut(), history)
+    return Solution(lat.keep(*dict.fromkeys([*own, x])).cut(), history, goal)
 
 
 def arnoldi(a: Operator, lat: Lattice, b: str, steps: int) -> tuple[Lattice, np.ndarray, float]:
@@ -343,8 +352,6 @@ def schur_even_odd(diagonal: float, hop: Operator) -> Operator:
     return _Schur(hop.wanted, hop.apply)
 
 
-
-
 def multi_rhs_cg(a: Operator, lat: Lattice, bs: Sequence[str], tol: float = 1e-8, most: int = 1000) -> Solution:
     """Conjugate gradients for several sources at once: one shuffle an iteration for all; fields x0, x1, ...
 
@@ -365,4 +372,4 @@ def multi_rhs_cg(a: Operator, lat: Lattice, bs: Sequence[str], tol: float = 1e-8
         lat = combine(lat, **{f"__p{k}": {f"__r{k}": 1.0, f"__p{k}": new[k] / rr[k] if rr[k] else 0.0} for k in n})
         rr = new
         history.append(max(x / y if y else 0.0 for x, y in zip(rr, first, strict=True)))
-    return Solution(lat.keep(*own, *[f"x{k}_b" for k in n]).cut(), history)
+    return Solution(lat.keep(*own, *[f"x{k}_b" for k in n]).cut(), history, tol * tol)

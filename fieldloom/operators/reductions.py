@@ -161,3 +161,55 @@ def momentum_project(lat: Lattice, name: str, momenta: list[tuple[int, ...]], ti
     each = lat.df.withColumn("__p", F.explode(table))
     v = lat.t(name)[0, 0] * C(F.cos(phase), F.sin(phase))
     return each.groupBy(F.col("__p.p").alias("p"), F.col(f"x{time}").alias("t")).agg(F.sum(column(v.re)).alias("re"), F.sum(column(v.im)).alias("im"))
+
+
+def slice_gram(lat: Lattice, left: list[str], right: list[str], mu: int) -> DataFrame:
+    """Inner products of two sets of fields on each slice of mu: rows (x_mu, i, j, re, im) from one pass."""
+    pairs = [(i, j, lat.t(a).inner(lat.t(b))) for i, a in enumerate(left) for j, b in enumerate(right)]
+    wide = lat.df.groupBy(f"x{mu}").agg(*[F.sum(column(x)).alias(f"g{i}_{j}_{p}") for i, j, c in pairs for p, x in (("re", c.re), ("im", c.im))])
+    rows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"g{i}_{j}_re").alias("re"), F.col(f"g{i}_{j}_im").alias("im")) for i, j, _ in pairs])
+    return wide.select(f"x{mu}", F.explode(rows).alias("r")).select(f"x{mu}", "r.*")
+
+
+def slice_multiply(lat: Lattice, matrices: DataFrame, names: list[str], mu: int, outs: list[str], add: list[str] | None = None) -> Lattice:
+    """out_j = add_j + sum_i field_i a(x_mu)[i, j], with rows (slice, i, j, re, im) of small matrices, one a slice."""
+    n, m = range(len(names)), range(len(outs))
+    flat = [F.sum(F.when((F.col("i") == i) & (F.col("j") == j), F.col(p)).otherwise(0.0)).alias(f"__a{i}_{j}_{p}") for i in n for j in m for p in ("re", "im")]
+    met = Lattice(lat.df.join(matrices.groupBy(F.col("slice").alias(f"x{mu}")).agg(*flat), f"x{mu}"), lat.grid, lat.shapes)
+
+    def column_of(j: int) -> Tensor:
+        out = met.t(add[j]) if add else None
+        for i in n:
+            term = met.t(names[i]) * C(F.col(f"__a{i}_{j}_re"), F.col(f"__a{i}_{j}_im"))
+            out = term if out is None else out + term
+        return out
+
+    return met.put(**{o: column_of(j) for j, o in enumerate(outs)}).keep(*dict.fromkeys([*lat.shapes, *outs]))
+
+
+def total_large(lat: Lattice, name: str) -> DataFrame:
+    """Sum of a field of many components as rows (k, re, im): component by component, not as one wide row."""
+    r_, c_ = lat.shapes[name]
+    parts = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"{name}_{k}_re").alias("re"), F.col(f"{name}_{k}_im").alias("im")) for k in range(r_ * c_)])
+    return lat.df.select(F.explode(parts).alias("p")).groupBy("p.k").agg(F.sum("p.re").alias("re"), F.sum("p.im").alias("im"))
+
+
+def field_crc(lat: Lattice, name: str) -> DataFrame:
+    """One checksum of a field: the XOR of the CRCs of each site's index and stored bits."""
+    bits = F.concat_ws(",", lat.grid.site().cast("string"), *[F.hex(F.col(c).cast("string")) for c in lat.columns(name)])
+    return lat.df.agg(F.bit_xor(F.crc32(bits.cast("binary"))).alias("crc"))
+
+
+def top_k(lat: Lattice, name: str, k: int, threshold: float | None = None) -> DataFrame:
+    """The k sites with the largest real parts, those above a threshold alone; ties by site."""
+    value = F.col(f"{name}_0_re")
+    rows = lat.df if threshold is None else lat.df.filter(value >= threshold)
+    return rows.select(lat.grid.site().alias("site"), value.alias("value")).orderBy(F.col("value").desc(), "site").limit(k)
+
+
+def orthogonalise(lat: Lattice, basis: list[str], name: str, out: str) -> Lattice:
+    """A field less its projections on orthonormal fields, all in one pass."""
+    from fieldloom.operators.linear import combine, dots
+
+    c = dots(lat, [(b, name) for b in basis])
+    return combine(lat, **{out: {name: 1.0} | {b: -z for b, z in zip(basis, c, strict=True)}})

@@ -12,10 +12,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.functions import spin
-from fieldloom.functions.tensors import C, Tensor, column, trace_index
+from fieldloom.functions import predicates, spin
+from fieldloom.functions.tensors import C, Tensor, column, to_real, trace_index
 from fieldloom.operators import contractions, evolution, fermions, fourier, gauge, linear, reductions, sites
 from fieldloom.plans.lattice import Grid, Lattice
+from fieldloom.sources import binary
 from fieldloom.sources.tables import abelian_lattice, events_lattice, matrix_lattice, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,9 +103,9 @@ def checkerboard_set(spark, sf_dir):
 @query(f"WITH {EV} SELECT x2::BIGINT AS x2, sum((re < 50)::INT)::BIGINT AS lt, sum((re >= 50)::INT)::BIGINT AS ge, sum((im = 0)::INT)::BIGINT AS eq, sum((im <> 0)::INT)::BIGINT AS ne FROM e GROUP BY x2")
 def compare_ops(spark, sf_dir):
     lat = events_lattice(spark, sf_dir)
-    re, im = F.col("v_0_re"), F.col("v_0_im")
-    tests = {"lt": re < 50, "ge": re >= 50, "eq": im == 0, "ne": im != 0}
-    return lat.df.groupBy(F.col("x2").cast("long").alias("x2")).agg(*[F.sum(c.cast("long")).alias(n) for n, c in tests.items()])
+    v = lat.t("v")
+    tests = {"lt": predicates.compare(v, "<", 50), "ge": predicates.compare(v, ">=", 50), "eq": predicates.compare(v.imag(), "==", 0), "ne": predicates.compare(v.imag(), "!=", 0)}
+    return lat.df.groupBy(F.col("x2").cast("long").alias("x2")).agg(*[F.sum(to_real(t).cast("long")).alias(n) for n, t in tests.items()])
 
 
 @query(f"WITH {EV} SELECT {XYZ}, {q('abs(-re)', 'abs_re')}, {q('sqrt(re)', 'sqrt_re')}, {q('sin(re)', 'sin_re')}, {q('cos(re)', 'cos_re')}, {q('ln(re)', 'log_re')}, {q('pow(re, 1.5)', 'pow_re')}, {q('exp(th) * cos(0.01 * im)', 'exp_re')}, {q('exp(th) * sin(0.01 * im)', 'exp_im')} FROM e")
@@ -128,8 +129,8 @@ def complex_arithmetic(spark, sf_dir):
 @query("SELECT event_id::BIGINT AS site, (event_id % 7)::BIGINT AS mod7, (event_id // 7)::BIGINT AS div7 FROM events")
 def integer_mod_div(spark, sf_dir):
     lat = events_lattice(spark, sf_dir)
-    i = F.col("i_0_re").cast("long")
-    return lat.df.select(lat.grid.site().alias("site"), (i % 7).alias("mod7"), F.floor(i / 7).alias("div7"))
+    i = lat.t("i")
+    return lat.df.select(lat.grid.site().alias("site"), to_real(predicates.mod(i, 7)).cast("long").alias("mod7"), to_real(predicates.div(i, 7)).cast("long").alias("div7"))
 
 
 @query(f"WITH {EV} SELECT {XYZ}, {q('re * re + im * im', 'norm2')} FROM e")
@@ -675,29 +676,18 @@ def photon_khat2(spark, sf_dir):
     return lat.df.select(*keys(lat), r(fourier.khat2(lat)).alias("khat2"))
 
 
-@query("SELECT (sum(event_id * 2654435761 % 4294967296) % 4294967296)::BIGINT AS word FROM events")
+@query("SELECT (sum(event_id) % 4294967296)::BIGINT AS word FROM events")
 def nersc_checksum(spark, sf_dir):
-    """Sum of 32-bit words modulo 2^32; a word here is the event's id times an odd constant."""
-    words = table(spark, sf_dir, "events").select((F.col("event_id") * 2654435761 % 4294967296).alias("w"))
-    return words.agg((F.sum("w") % 4294967296).alias("word"))
+    """Sum of the 32-bit words of the index field, stored as big-endian integers, modulo 2^32."""
+    word, _, _ = binary.checksums(events_lattice(spark, sf_dir).keep("i"), ["i"], ">i4")
+    return spark.createDataFrame([(word,)], "word long")
 
 
 @query()
 def scidac_checksum(spark, sf_dir):
-    """XOR over sites of the rotated CRCs of the stored values, in columns."""
-    lat = events_lattice(spark, sf_dir)
-    crc = F.crc32(F.col("v_0_re").cast("string").cast("binary"))
-
-    def rotl(n: int) -> Column:
-        by = F.pmod(lat.grid.site(), F.lit(n)).cast("int")
-        turned = F.expr("shiftleft(__c, __n)").bitwiseOR(F.expr("shiftright(__c, 32 - __n)")).bitwiseAND(0xFFFFFFFF)
-        return by, F.when(by == 0, F.col("__c")).otherwise(turned)
-
-    out = lat.df.withColumn("__c", crc)
-    for name, n in (("suma", 29), ("sumb", 31)):
-        by, turned = rotl(n)
-        out = out.withColumn("__n", by).withColumn(name, turned).drop("__n")
-    return out.agg(F.bit_xor("suma").alias("suma"), F.bit_xor("sumb").alias("sumb"))
+    """XOR over sites of the rotated CRCs of the stored bytes."""
+    _, a, b = binary.checksums(events_lattice(spark, sf_dir).keep("v"), ["v"])
+    return spark.createDataFrame([(a, b)], "suma long, sumb long")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,6 @@ holds more than its range.  Paths must lie on a file system that all executors s
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,27 +86,49 @@ def write_field(lat: Lattice, names: list[str], path: str, offset: int = 0, dtyp
 
 
 def checksums(lat: Lattice, names: list[str], dtype: str = ">f8") -> tuple[int, int, int]:
-    """(sum of 32-bit words mod 2^32, XOR of CRCs rotated by site % 29, and by site % 31) of the stored bytes."""
+    """(sum of 32-bit words mod 2^32, XOR of CRCs rotated by site % 29, and by site % 31) of the stored bytes.
+
+    Batches are packed to the bytes of their sites; CRCs, rotations and sums are columns.
+    """
     reals = 2 * sum(r * c for r, c in (lat.shapes[n] for n in names))
     cols = [c for n in names for c in lat.columns(n)]
+    size = reals * np.dtype(dtype).itemsize
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sites = b.column(0).to_numpy()
+            n = b.num_rows
             values = np.stack([b.column(k + 1).to_numpy() for k in range(reals)], 1).astype(dtype)
-            words = int(values.view(dtype[0] + "u4").astype(np.uint64).sum()) % (1 << 32) if len(sites) else 0
-            a = c = 0
-            for s, row in zip(sites, values, strict=True):
-                crc = zlib.crc32(row.tobytes())
-                a ^= rotated(crc, int(s) % 29)
-                c ^= rotated(crc, int(s) % 31)
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (words, a, c)], names=["w", "a", "c"])
-
-    each = lat.df.select(lat.grid.site().alias("__site"), *cols).mapInArrow(run, "w long, a long, c long")
-    row = each.agg((F.sum("w") % (1 << 32)).alias("w"), F.bit_xor("a").alias("a"), F.bit_xor("c").alias("c")).first()
+            words = values.view(dtype[0] + "u4").astype(np.int64).sum(1) if n else np.zeros(0, np.int64)
+            ends = pa.py_buffer((np.arange(n + 1) * size).astype(np.int32).tobytes())
+            data = pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(values.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words), data], names=["site", "words", "data"])
+
+    each = lat.df.select(lat.grid.site().alias("site"), *cols).mapInArrow(run, "site long, words long, data binary")
+    each = each.withColumn("crc", F.crc32("data"))
+
+    def turned(n: int):
+        by = F.pmod("site", F.lit(n)).cast("int")
+        left, right = F.call_function("shiftleft", F.col("crc"), by), F.call_function("shiftrightunsigned", F.col("crc"), 32 - by)
+        return F.bit_xor(left.bitwiseOR(right).bitwiseAND(0xFFFFFFFF))
+
+    row = each.agg((F.sum(F.col("words") % (1 << 32)) % (1 << 32)).alias("w"), turned(29).alias("a"), turned(31).alias("c")).first()
     return int(row["w"] or 0), int(row["a"] or 0), int(row["c"] or 0)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder for files of the session, in that of its checkpoints, which all executors share."""
+    import os
+    from urllib.parse import urlparse
+
+    from fieldloom.plans.lineage import checkpoint_dir
+
+    at = urlparse(checkpoint_dir(spark))
+    if at.scheme not in ("", "file"):
+        raise ValueError(f"binary files need a mounted folder, not {at.scheme}")
+    os.makedirs(at.path, exist_ok=True)
+    return at.path
+
+
 def rotated(x: int, by: int) -> int:
     """A 32-bit rotation to the left; by zero it is x."""
     return ((x << by) | (x >> (32 - by))) & 0xFFFFFFFF if by else x

@@ -13,10 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole(rows: int, of: int) -> int:
+    """How often ``of`` fits into a table's rows; a rest would fall on sites that are taken."""
+    if rows % of:
+        raise ValueError(f"{rows} rows are no multiple of {of}")
+    return rows // of
+
+
 def events_lattice(spark: SparkSession, sf_dir: str) -> Lattice:
     """The events as a [10, 10, T] lattice: v = value + i (event_id % 7 - 3) and the index as a field."""
     df = table(spark, sf_dir, "events").select("event_id", "value")
-    grid = Grid((10, 10, df.count() // 100))
+    grid = Grid((10, 10, whole(df.count(), 100)))
     v = C(F.col("value"), (F.col("event_id") % 7 - 3).cast("double"))
     return Lattice.of(df, grid, "event_id", v=Tensor([v]), i=Tensor([C(F.col("event_id").cast("double"), F.lit(0.0))]))
 
@@ -24,7 +31,7 @@ def events_lattice(spark: SparkSession, sf_dir: str) -> Lattice:
 def abelian_lattice(spark: SparkSession, sf_dir: str) -> Lattice:
     """U(1) links of angle (mu + 1) 0.01 value on the events lattice, and the scalar v."""
     df = table(spark, sf_dir, "events").select("event_id", "value")
-    grid = Grid((10, 10, df.count() // 100))
+    grid = Grid((10, 10, whole(df.count(), 100)))
     links = {f"u{mu}": Tensor([C(F.cos((mu + 1) * 0.01 * F.col("value")), F.sin((mu + 1) * 0.01 * F.col("value")))]) for mu in range(3)}
     v = Tensor([C(F.col("value"), (F.col("event_id") % 7 - 3).cast("double"))])
     return Lattice.of(df, grid, "event_id", v=v, **links)
@@ -33,7 +40,7 @@ def abelian_lattice(spark: SparkSession, sf_dir: str) -> Lattice:
 def matrix_lattice(spark: SparkSession, sf_dir: str, n: int = 2) -> Lattice:
     """The embeddings as a [5, 10, T] lattice of n x n matrices m0, m1, m2 and a 4 x 3 spinor."""
     df = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    grid = Grid((5, 10, df.count() // 50))
+    grid = Grid((5, 10, whole(df.count(), 50)))
 
     def at(k: int) -> C:
         return C(F.get("embedding", F.lit(2 * k)).cast("double"), F.get("embedding", F.lit(2 * k + 1)).cast("double"))
