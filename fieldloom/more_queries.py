@@ -476,7 +476,7 @@ def _spinor_lattice(spark, sf_dir) -> Lattice:
 
 
 def _component(row: str, s: int) -> tuple[str, str]:
-    return f"({row}.re * {0.01 * (s + 1)!r})", f"({row}.im + {s})"
+    return f"({row}.re * {float(0.01 * (s + 1))!r})", f"({row}.im + {s})"
 
 
 def _turned(row: str, z: tuple[str, str], angle: str) -> tuple[str, str]:
@@ -493,7 +493,7 @@ def _hop_terms(dagger: bool, fore: float, spins: int = 4) -> list[str]:
             p = spin.projector(mu, sign) * fore
             angle = f"{mu + 1} * a.th" if ahead else f"-{mu + 1} * b.th"
             for s in range(spins):
-                zs = [(p[s, t], _turned("b", _component("b", t), angle)) for t in np.flatnonzero(p[s])]
+                zs = [(complex(p[s, t]), _turned("b", _component("b", t), angle)) for t in np.flatnonzero(p[s])]
                 re = " + ".join(f"({z.real!r} * {x} - ({z.imag!r}) * {y})" for z, (x, y) in zs)
                 im = " + ".join(f"({z.real!r} * {y} + ({z.imag!r}) * {x})" for z, (x, y) in zs)
                 out.append(f"SELECT a.x0, a.x1, a.x2, {s} AS s, {re} AS re, {im} AS im FROM e a CROSS JOIN n JOIN e b ON {moved(d)}")
