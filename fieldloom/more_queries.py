@@ -243,12 +243,13 @@ def masked_block_inner_product(spark, sf_dir):
     return got.df.select(*keys(got), r(F.col("ip_0_re"), 3).alias("re"))
 
 
-@query(f"WITH {EV}, b AS (SELECT x0 // 5 AS b0, x1 // 2 AS b1, x2 // 5 AS b2, sum(re) AS s FROM e GROUP BY x0 // 5, x1 // 2, x2 // 5) SELECT {XYZ}, {q('0.001 * s * e.re + event_id', 're', 4)} FROM e JOIN b ON b0 = x0 // 5 AND b1 = x1 // 2 AND b2 = x2 // 5")
+@query(f"WITH {EV}, b AS (SELECT x0 // 5 AS b0, x1 // 2 AS b1, x2 // 5 AS b2, sum(re) AS s FROM e GROUP BY x0 // 5, x1 // 2, x2 // 5) SELECT {XYZ}, {q('0.001 * s * e.re + event_id', 're', 7)} FROM e JOIN b ON b0 = x0 // 5 AND b1 = x1 // 2 AND b2 = x2 // 5")
 def block_zaxpy(spark, sf_dir):
     lat = events_lattice(spark, sf_dir)
     coarse = reductions.block_sum(lat.put(a=lat.t("v").real().scale(0.001)), "a", (5, 2, 5))
     got = reductions.block_zaxpy(lat, coarse, "a", "v", "i", (5, 2, 5))
-    return got.df.select(*keys(got), r(F.col("z_0_re"), 4).alias("re"))
+    # Values have two decimals, so seven hold the result whole: fewer would leave ties to the order of the sums.
+    return got.df.select(*keys(got), r(F.col("z_0_re"), 7).alias("re"))
 
 
 @query(f"WITH {EV}, s AS (SELECT sqrt(sum(re * re + im * im)) AS n FROM e), c AS (SELECT sum(re * event_id) / n AS cr, sum(-im * event_id) / n AS ci, n FROM e, s GROUP BY n) SELECT {XYZ}, {q('event_id - (cr * re - ci * im) / n', 're', 4)}, {q('-(cr * im + ci * re) / n', 'im', 4)} FROM e, c")
@@ -578,7 +579,7 @@ def _staggered_terms(hops: dict[int, tuple[float, str]]) -> list[str]:
             for way in (1, -1):
                 d = tuple(way * n * int(k == mu) for k in range(3))
                 walk = [tuple((j if way == 1 else j - n) * int(k == mu) for k in range(3)) for j in range(n)]
-                joins = " ".join(f"JOIN e w{j} ON {moved(at).replace('b.', f'w{j}.')}" for j, at in enumerate(walk))
+                joins = " ".join(f"LEFT JOIN e w{j} ON {moved(at).replace('b.', f'w{j}.')}" for j, at in enumerate(walk))
                 angle = f"{way * (mu + 1)} * (" + " + ".join(f"w{j}.th" for j in range(n)) + ")"
                 z = _turned("b", ("b.re", "b.im"), angle)
                 f = f"(CASE WHEN ({eta}) % 2 = 0 THEN {way * c / 2!r} ELSE {-way * c / 2!r} END)"
@@ -648,7 +649,7 @@ def covariant_shift_backward(spark, sf_dir):
 
 
 _DA = "(" + " + ".join(f"sin({mu + 1} * a.th) - sin({mu + 1} * w{mu}.th)" for mu in range(3)) + ")"
-_DA_SQL = "SELECT a.x0, a.x1, a.x2, a.th, " + _DA + " AS da FROM e a CROSS JOIN n " + " ".join(f"JOIN e w{mu} ON " + moved(tuple(-int(k == mu) for k in range(3))).replace("b.", f"w{mu}.") for mu in range(3))
+_DA_SQL = "SELECT a.x0, a.x1, a.x2, a.th, " + _DA + " AS da FROM e a CROSS JOIN n " + " ".join(f"LEFT JOIN e w{mu} ON " + moved(tuple(-int(k == mu) for k in range(3))).replace("b.", f"w{mu}.") for mu in range(3))
 
 
 @query(f"WITH {EV}, g AS ({_DA_SQL}) SELECT a.x0::BIGINT AS x0, a.x1::BIGINT AS x1, a.x2::BIGINT AS x2, {q('cos(a.th - 0.1 * a.da + 0.1 * b.da)', 're')}, {q('sin(a.th - 0.1 * a.da + 0.1 * b.da)', 'im')} FROM g a CROSS JOIN n JOIN g b ON {moved((1, 0, 0))}")
@@ -682,7 +683,7 @@ def _rectangle_staple_sql() -> str:
                     mu = step if step >= 0 else -step - 1
                     if step < 0:
                         at[mu] -= 1
-                    joins.append(f"JOIN e w{k} ON " + moved(tuple(at)).replace("b.", f"w{k}."))
+                    joins.append(f"LEFT JOIN e w{k} ON " + moved(tuple(at)).replace("b.", f"w{k}."))
                     phase.append(f"{'-' if step < 0 else '+'} {mu + 1} * w{k}.th")
                     if step >= 0:
                         at[mu] += 1

@@ -409,13 +409,17 @@ def _angle(mu: int, d: tuple[int, int, int], alias: str) -> str:
 
 
 def _loop_sql(path: tuple[int, ...]) -> tuple[str, str]:
-    """FROM clause and phase of a U(1) path from the row a."""
+    """FROM clause and phase of a U(1) path from the row a.
+
+    Every site has all its neighbours, so the outer joins lose and add nothing; they keep
+    the joins in the order of the path, each by a key.
+    """
     at, joins, phase = [0, 0, 0], [], []
     for k, s in enumerate(path):
         mu = s if s >= 0 else -s - 1
         if s < 0:
             at[mu] -= 1
-        joins.append(f"JOIN e w{k} ON " + moved(tuple(at)).replace("b.", f"w{k}."))
+        joins.append(f"LEFT JOIN e w{k} ON " + moved(tuple(at)).replace("b.", f"w{k}."))
         phase.append(f"{'-' if s < 0 else '+'} {mu + 1} * w{k}.th")
         if s >= 0:
             at[mu] += 1
@@ -461,7 +465,7 @@ def _staple_sql() -> str:
                 mu = s if s >= 0 else -s - 1
                 if s < 0:
                     at[mu] -= 1
-                joins.append(f"JOIN e w{k} ON " + moved(tuple(at)).replace("b.", f"w{k}."))
+                joins.append(f"LEFT JOIN e w{k} ON " + moved(tuple(at)).replace("b.", f"w{k}."))
                 phase.append(f"{'-' if s < 0 else '+'} {mu + 1} * w{k}.th")
                 if s >= 0:
                     at[mu] += 1
