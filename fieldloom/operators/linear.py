@@ -135,7 +135,9 @@ def conjugate_gradient(a: Operator, lat: Lattice, b: str, x: str = "x", tol: flo
     while history[-1] > goal and len(history) <= most:
         lat = a(lat, "__p", "__q").cut()
         # One aggregation an iteration: the new residual's norm follows from products of the old one.
-        pq, rq, qq = dots(lat, [("__p", "__q"), ("__r", "__q"), ("__q", "__q")])
+        # The old norm is summed afresh: carried on, its first rounding would outgrow a fast-shrinking residual.
+        norm, pq, rq, qq = dots(lat, [("__r", "__r"), ("__p", "__q"), ("__r", "__q"), ("__q", "__q")])
+        rr = norm.real
         alpha = rr / pq.real
         new = max(rr - 2 * alpha * rq.real + alpha * alpha * qq.real, 0.0)
         lat = combine(lat, **{x: {x: 1.0, "__p": alpha}, "__r": {"__r": 1.0, "__q": -alpha}, "__p": {"__r": 1.0, "__q": -alpha, "__p": new / rr}})
