@@ -154,9 +154,87 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the frequent words of all whole texts."""
+    from fieldloom.llm.spelling_variants import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+#: crc32 in plain SQL: the table of the reflected polynomial.
+CRC_SQL = """crc AS (SELECT list(c ORDER BY k) AS t FROM (
+  SELECT k, list_reduce(list_prepend(k, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(k)))"""
+
+
+def crc_sql(text: str) -> str:
+    """The crc32 of a text expression, where ``crc`` of CRC_SQL is joined."""
+    of = f"list_transform(range(0, strlen({text})), lambda i: ('0x' || hex(encode({text}))[2*i+1:2*i+2])::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {of}), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT)"
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE {CRC_SQL}, r AS (
+  SELECT key, run, count(*) AS n FROM (
+    SELECT coalesce(doc_id::VARCHAR, '') AS key, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents
+  ) WHERE length(run) >= 6 GROUP BY key, run
+), h AS (SELECT run, n, {crc_sql("(key || ':' || run)")} AS h FROM r, crc
+), w AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 199 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), d AS (SELECT word, n, i, word[1:i] || word[i + 2:] AS rest FROM (SELECT *, unnest(range(0, length(word))) AS i FROM w)
+), p AS (
+  SELECT a.word AS a, b.word AS b, b.n AS bn FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.rest = w.word
+  UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.rest = w.word
+), m AS (SELECT a AS word, count(*) AS n_near, first(b ORDER BY bn DESC, b) AS form, max(bn) AS form_n FROM p GROUP BY a
+), f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 5 * w.n THEN form END AS form, CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n FROM w LEFT JOIN m ON m.word = w.word
+), c AS (SELECT word, word AS root FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM f JOIN c ON c.word = f.word JOIN f l ON l.word = c.root AND l.form IS NULL
+"""
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards by a two-pass shuffle; only the measures of the texts travel."""
+    from fieldloom.llm.sharding import measured, shard
+
+    docs = measured(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return shard(docs.select("doc_id", "size", "text_crc32"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents resampled towards the distribution of the benchmark's words."""
+    from fieldloom.llm.importance_resampling import importance
+
+    return importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = rf"""
+WITH {CRC_SQL}, d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), b AS (
+  SELECT list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), f AS (SELECT doc_id, unnest(w) AS f FROM d
+), g AS (SELECT unnest(w) AS f FROM b
+), k AS (SELECT f, {crc_sql("f")} % 10000 AS bucket FROM (SELECT f FROM f UNION SELECT f FROM g), crc
+), s AS (SELECT bucket, count(*)::DOUBLE AS s FROM f JOIN k USING (f) GROUP BY bucket
+), t AS (SELECT bucket, count(*)::DOUBLE AS t FROM g JOIN k USING (f) GROUP BY bucket
+), tot AS (SELECT coalesce((SELECT sum(s) FROM s), 0) AS ss, coalesce((SELECT sum(t) FROM t), 0) AS tt
+), gain AS (SELECT s.bucket, floor(1000 * ln((coalesce(t, 0) + 1) * (ss + 10000) / ((s + 1) * (tt + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), tot
+), sums AS (SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS sum FROM f JOIN k USING (f) JOIN gain USING (bucket) GROUP BY doc_id
+), x AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (sum - ((sum % n) + n) % n) // n END::BIGINT AS weight,
+    ('0x' || sha256('2024:' || d.doc_id)[1:8])::BIGINT AS h
+  FROM d LEFT JOIN sums ON sums.doc_id = d.doc_id
+), y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM x
+), r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM y WHERE n_features >= 20)
+SELECT y.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM y LEFT JOIN r ON r.doc_id = y.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op2_lm_scoring": op2_lm_scoring, "op3_mixing": op3_mixing, "op4_language_id": op4_language_id, "op5_quality_classifier": op5_quality_classifier, "op6_pii": op6_pii, "op7_near_dedup": op7_near_dedup, "op8_decontamination": op8_decontamination, "op9_url_filters": op9_url_filters, "op10_quality_rules": op10_quality_rules}
+    return {"op1_token_counts": op1_token_counts, "op2_lm_scoring": op2_lm_scoring, "op3_mixing": op3_mixing, "op4_language_id": op4_language_id, "op5_quality_classifier": op5_quality_classifier, "op6_pii": op6_pii, "op7_near_dedup": op7_near_dedup, "op8_decontamination": op8_decontamination, "op9_url_filters": op9_url_filters, "op10_quality_rules": op10_quality_rules, "op11_spelling_variants": op11_spelling_variants, "op12_sharding": op12_sharding, "op13_importance_resampling": op13_importance_resampling}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_near_dedup": OP7_SQL, "op8_decontamination": OP8_SQL}
+    return {"op7_near_dedup": OP7_SQL, "op8_decontamination": OP8_SQL, "op11_spelling_variants": OP11_SQL, "op13_importance_resampling": OP13_SQL}
