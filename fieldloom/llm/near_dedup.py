@@ -45,8 +45,7 @@ BLOCK = 1000
 CHUNK = 8192
 #: Rows of two or three numbers, and of sketches (300 bytes), up to which a table of keys is broadcast.
 FEW, FEW_SKETCHES = 200_000, 20_000
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(0, 1 << 63, BUCKETS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BUCKETS, dtype=np.uint64)
@@ -59,32 +58,83 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _WordHashes(dict):
+    """128 bits of blake2b of each word met, kept while they are not too many."""
+
+    MOST = 500_000
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.MOST:
+            self.clear()
+        h = self[word] = hashlib.blake2b(word, digest_size=16).digest()
+        return h
+
+
 class Shingler:
-    """64-bit hashes of a text's distinct shingles, by prefix sums of a polynomial over bytes."""
+    """Hashes of a text's distinct shingles: strong hashes of its words, mixed in order.
+
+    Sketches and candidates rest on them; links do not, see ``Pairs``.
+    """
 
     def __init__(self, width: int):
         self.width = width
-        self._grow(1 << 16)
+        self.words = _WordHashes()
 
-    def _grow(self, n: int) -> None:
-        self.power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, _BASE))), dtype=np.uint64)
-        self.inverse = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, _INVERSE))), dtype=np.uint64)
+    def both(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of each distinct shingle, sorted by the first.
 
-    def shingles(self, text: str | None) -> np.ndarray:
-        """Sorted; shorter texts are one shingle, and those without words have none."""
-        words = (text or "").encode().lower().split()
+        Shorter texts are one shingle, and those without words have none.
+        """
+        words = text_words(text)
         if not words:
-            return np.zeros(0, np.uint64)
-        data = b" ".join(words)
-        if len(data) >= len(self.power):
-            self._grow(2 * len(data))
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        w = np.frombuffer(b"".join([self.words[x] for x in words]), np.uint64).reshape(-1, 2)
         k = min(self.width, len(words))
-        first, last = starts[: len(words) - k + 1], ends[k - 1 :]
-        values = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(values * self.power[: len(data)], dtype=np.uint64)))
-        return np.unique(_mix((sums[last] - sums[first]) * self.inverse[first] + (last - first).astype(np.uint64)))
+        n = len(words) - k + 1
+        h = np.full((n, 2), np.uint64(k))
+        for j in range(k):
+            h = _mix(h * _STEP + w[j : j + n])
+        first, at = np.unique(h[:, 0], return_index=True)
+        return first, h[at, 1]
+
+    def shingles(self, text: str | None) -> np.ndarray:
+        """The first hashes, sorted."""
+        return self.both(text)[0]
+
+
+def text_words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+class Pairs:
+    """Whether two texts are linked, decided on their shingles themselves.
+
+    Words get numbers by a dictionary and shingles numbers by rank, so nothing is hashed.
+    The left text, which many pairs in a row share, is numbered once.
+    """
+
+    def __init__(self, width: int, percent: int):
+        self.width, self.percent, self.left = width, percent, None
+
+    def linked(self, key, left: str, right: str) -> bool:
+        if self.left is None or self.left[0] != key:
+            number: dict[bytes, int] = {}
+            own = [number.setdefault(w, len(number)) for w in text_words(left)]
+            self.left = (key, number, np.array(own, np.int64))
+        _, number, own = self.left
+        more: dict[bytes, int] = {}
+        words = text_words(right)
+        other = np.array([number[w] if w in number else more.setdefault(w, len(number) + len(more)) for w in words], np.int64)
+        if not len(own) or not len(other) or min(len(own), self.width) != min(len(other), self.width):
+            return False
+        k = min(len(own), self.width)
+        rank = np.concatenate((own, other))
+        at, split = rank, len(own)
+        for j in range(1, k):  # the rank of each run of j+1 words; runs over the seam are cut off below
+            _, rank = np.unique((rank[: len(at) - j] << 32) | at[j:], return_inverse=True)
+        a, b = np.unique(rank[: split - k + 1]), np.unique(rank[split:])
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * both >= self.percent * (len(a) + len(b) - both)
 
 
 def sketch(x: np.ndarray) -> np.ndarray:
@@ -138,8 +188,8 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
 
         shingler = Shingler(width)
         for b in batches:
-            sets = (shingler.shingles(t) for t in b.column(2).to_pylist())
-            rows = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), (r := sketch(s)).tobytes(), band_keys(r)) if len(s) else (0, None, None, None) for s in sets]
+            sets = (shingler.both(t) for t in b.column(2).to_pylist())
+            rows = [(len(s), hashlib.blake2b(s.tobytes() + more.tobytes(), digest_size=16).digest(), (r := sketch(s)).tobytes(), band_keys(r)) if len(s) else (0, None, None, None) for s, more in sets]
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=schema.names)
 
@@ -169,7 +219,7 @@ def _estimated(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs that 100 * intersection >= percent * union confirms on their full sets."""
+    """Pairs that 100 * intersection >= percent * union confirms on their full sets, word by word."""
     pairs = cut(pairs)
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
@@ -178,16 +228,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     def run(batches):
         import pyarrow as pa
 
-        shingler = Shingler(width)
-        last, own = None, None
+        pairs = Pairs(width, percent)
         for batch in batches:
-            keep = []
-            for a, ta, tb in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
-                if own is None or a != last:
-                    last, own = a, shingler.shingles(ta)
-                other = shingler.shingles(tb)
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(own) + len(other) - both))
+            keep = [pairs.linked(a, ta, tb) for a, ta, tb in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return rows.mapInArrow(run, pairs.select("a", "b").schema)
