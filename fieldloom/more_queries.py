@@ -444,14 +444,8 @@ def lanczos_thick_restart(spark, sf_dir):
     return spark.createDataFrame([(k, round(v, 4)) for k, (v, _) in enumerate(pairs)], "k long, eigenvalue double")
 
 
-@query(f"WITH m AS ({_MODES}) SELECT round(min(v), 3) + 0.0 AS lowest, round(max(v), 3) + 0.0 AS highest FROM m")
-def lanczos_block(spark, sf_dir):
-    lat, d = _scalar(spark, sf_dir)
-    lat = lat.put(g=lat.t("f").conj()).put(h=Tensor.constant(1.0))
-    lat = sites.random_fields(lat, 4, "uniform", "w")
-    lat = lat.put(k=Tensor([C(1.0 - 2.0 * lat.grid.parity())])) if d % 2 == 0 else lat
-    values, _ = solvers.block_lanczos(linear.massive(d, 1.0), lat.cut(), ["f", "g", "w"], 10)
-    return spark.createDataFrame([(round(float(values[0]), 3), round(float(values[-1]), 3))], "lowest double, highest double")
+#: Both ends of that spectrum.
+SQL_BLOCK_LANCZOS = f"WITH m AS ({_MODES}) SELECT round(min(v), 3) + 0.0 AS lowest, round(max(v), 3) + 0.0 AS highest FROM m"
 
 
 @query(f"WITH {EV} SELECT round(sum(0.5 * 6.5 * a.re * a.re + 0.25 * 0.01 * pow(a.re, 4) - a.re * (b.re + c.re + d.re)) / 1e6, 4) + 0.0 AS action FROM e a CROSS JOIN n JOIN e b ON {moved((1, 0, 0))} JOIN e c ON {moved((0, 1, 0)).replace('b.', 'c.')} JOIN e d ON {moved((0, 0, 1)).replace('b.', 'd.')}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,23 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder that the session names."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def dealt_table(df: DataFrame, keys: list[str], parts: int) -> tuple[DataFrame, str]:
+    """df as a table in that folder, in ``parts`` buckets by keys, and its name.
+
+    Rows that are dealt by the same keys over as many partitions are written where they
+    are; and reading tells Spark how they lie, so that a join by the keys moves only the
+    other side.
+    """
+    spark, name = df.sparkSession, f"dealt_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").bucketBy(parts, *keys).option("path", f"{checkpoint_dir(spark)}/{name}").option("compression", "none")
+    writer.saveAsTable(name)
+    return spark.table(name), name
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Drop a dealt table with its files."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/{name}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
