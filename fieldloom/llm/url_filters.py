@@ -19,7 +19,7 @@ import math
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +47,7 @@ RULES = (
     Rule("block", "net", "/es/"),
     Rule("block", "net", "/fr/"),
 )
-#: Public suffixes of two parts that count as one (fixed values); any other last part is one.
+#: Public suffixes of more than one part (fixed values); any other last part is one.  ``suffixes_of`` reads a longer list.
 TWO_PART_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "co.za")
 #: Parts of host names that public URL filters count as adult, gambling, drugs, loans, advertising or spam (fixed values).
 SPAM_WORDS = (
@@ -58,6 +58,8 @@ SPAM_WORDS = (
 LEAST_GOOD = 0.5
 #: Posterior standard deviations from the mean to the bound.
 WIDTH = 1.645
+#: Suffixes (a name and two numbers) up to which their table is broadcast.
+FEW_SUFFIXES = 100_000
 #: Bounds of a level's prior strength, in pseudo-pages.
 WEAKEST, STRONGEST = 2.0, 200.0
 
@@ -79,13 +81,44 @@ def path_of(url: Column) -> Column:
     return F.when(F.instr(rest, "/") > 0, F.substring(rest, F.instr(rest, "/"), F.length(rest))).otherwise(F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_PART_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def site_of(host: Column) -> Column:
+    """The host whose reputation counts: without user name, port and final dots."""
+    return F.regexp_replace(F.regexp_replace(F.substring_index(host, "@", -1), r":[0-9]*$", ""), r"\.+$", "")
 
 
-def domain_of(host: Column) -> Column:
-    return F.when(F.substring_index(host, ".", -2).isin(*TWO_PART_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+def is_address(site: Column) -> Column:
+    """Whether a site is an IPv4 address or a bracketed IPv6 address."""
+    return site.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$") | F.startswith(site, F.lit("["))
+
+
+def suffixes_of(spark: SparkSession, path: str, most: int = 50_000) -> tuple[str, ...]:
+    """Suffixes of more than one part from a file in the form of the public suffix list.
+
+    Comments, exceptions (!) and the stars of wildcards are left out; more than ``most``
+    lines, a bound far above that list, are refused, as the suffixes become part of the plan.
+    """
+    lines = spark.read.text(path).select(F.regexp_replace(F.lower(F.trim("value")), r"^\*\.", "").alias("s"))
+    rows = lines.filter(F.col("s").contains(".") & ~F.col("s").startswith("//") & ~F.col("s").startswith("!")).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} suffixes in {path}")
+    return tuple(sorted(r.s for r in rows))
+
+
+def _levels(site: Column, suffixes: tuple[str, ...]) -> tuple[Column, Column]:
+    """The suffix of a site, the longest that is listed or else its last part, and one part more: its registered domain."""
+    suffix, domain = F.substring_index(site, ".", -1), F.substring_index(site, ".", -2)
+    for n in sorted({s.count(".") + 1 for s in suffixes}):
+        listed = F.substring_index(site, ".", -n).isin(*[s for s in suffixes if s.count(".") + 1 == n])
+        suffix, domain = F.when(listed, F.substring_index(site, ".", -n)).otherwise(suffix), F.when(listed, F.substring_index(site, ".", -n - 1)).otherwise(domain)
+    return F.when(is_address(site), "ip").otherwise(suffix), F.when(is_address(site), site).otherwise(domain)
+
+
+def suffix_of(site: Column, suffixes: tuple[str, ...] = TWO_PART_SUFFIXES) -> Column:
+    return _levels(site, suffixes)[0]
+
+
+def domain_of(site: Column, suffixes: tuple[str, ...] = TWO_PART_SUFFIXES) -> Column:
+    return _levels(site, suffixes)[1]
 
 
 def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column, Column]:
@@ -174,28 +207,30 @@ class Reputation:
     suffixes: DataFrame
     mean: float
     sd: float
+    listed: tuple[str, ...]
 
     def of(self, hosts: DataFrame) -> DataFrame:
         """host, host_mean, host_sd and the level they come from, for the distinct values of host."""
         known = self.hosts.withColumn("level", F.lit("host"))
         new = hosts.select("host").distinct().join(self.hosts.select("host"), "host", "left_anti")
-        new = new.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
-        # Few suffixes are seen, and one may have most of the hosts.
-        new = new.join(self.domains, "domain", "left").join(F.broadcast(self.suffixes), "suffix", "left")
+        new = new.withColumns({"domain": domain_of(F.col("host"), self.listed), "suffix": suffix_of(F.col("host"), self.listed)})
+        # One suffix may have most of the hosts: broadcast the few there are, and let skewed ones be split where they are not few.
+        few = self.suffixes.limit(FEW_SUFFIXES + 1).count() <= FEW_SUFFIXES
+        new = new.join(self.domains, "domain", "left").join(F.broadcast(self.suffixes) if few else self.suffixes, "suffix", "left")
         found = [F.coalesce(f"domain_{x}", f"suffix_{x}", F.lit(whole)).alias(f"host_{x}") for x, whole in (("mean", self.mean), ("sd", self.sd))]
         level = F.when(F.col("domain_mean").isNotNull(), "domain").when(F.col("suffix_mean").isNotNull(), "suffix").otherwise("all")
         return known.unionByName(new.select("host", *found, level.alias("level")))
 
 
-def reputation(outcomes: DataFrame) -> Reputation:
+def reputation(outcomes: DataFrame, suffixes: tuple[str, ...] = TWO_PART_SUFFIXES) -> Reputation:
     """What outcomes (host, good of 0 or 1) tell of hosts, registered domains and suffixes."""
     hosts = outcomes.filter(F.col("good").isNotNull()).groupBy("host").agg(F.sum("good").cast("double").alias("good"), F.count("*").cast("double").alias("n"))
-    hosts = cut(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
+    hosts = cut(hosts.withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)}))
     domains = cut(hosts.groupBy("suffix", "domain").agg(F.sum("good").alias("good"), F.sum("n").alias("n")))
-    suffixes = cut(domains.groupBy("suffix").agg(F.sum("good").alias("good"), F.sum("n").alias("n")))
-    whole = suffixes.agg(F.sum("good"), F.sum("n")).first()
+    ends = cut(domains.groupBy("suffix").agg(F.sum("good").alias("good"), F.sum("n").alias("n")))
+    whole = ends.agg(F.sum("good"), F.sum("n")).first()
     root = ((whole[0] or 0.0) + 1) / ((whole[1] or 0.0) + 2)
-    level = suffixes.withColumn("prior", F.lit(root))
+    level = ends.withColumn("prior", F.lit(root))
     known = []
     for key, rows in (("suffix", domains), ("domain", hosts)):
         strength = _strength(level)
@@ -203,27 +238,29 @@ def reputation(outcomes: DataFrame) -> Reputation:
         above = level.select(key, F.col("good").alias(f"{key}_good"), F.col("n").alias(f"{key}_n"), F.col("prior").alias(f"{key}_prior"))
         level = cut(rows.join(above, key).withColumn("prior", _prior(key, strength)))
     hosts = level.select(_posterior("host", _strength(level)))
-    return Reputation(hosts, known[1], known[0], root, math.sqrt(root * (1 - root) / ((whole[1] or 0.0) + 3)))
+    return Reputation(hosts, known[1], known[0], root, math.sqrt(root * (1 - root) / ((whole[1] or 0.0) + 3)), suffixes)
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES, least_good: float = LEAST_GOOD) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES, least_good: float = LEAST_GOOD, suffixes: tuple[str, ...] = TWO_PART_SUFFIXES) -> DataFrame:
     """pages with host, path, rule, verdict, decided_by, good_mean and good_bound in place of the url.
 
     outcomes holds labelled pages: a url column of the same name and good (0, 1 or null).
     decided_by is ``rule``, or the level whose posterior decides: ``host``, ``domain``,
     ``suffix`` or ``all``.  A null url, or one without ``://``, has an empty host and path:
-    no rule fits and the empty host's reputation decides.  Every row of pages comes back
+    no rule fits and the empty host's reputation decides.  Of two rules of one length the
+    one listed last wins; rules see hosts as they stand, ports included.  Every row of pages comes back
     once, repeated ones too; each row of outcomes counts; an empty table of pages gives an
     empty one, and without outcomes all that no rule blocks is allowed.  Columns that bear a
     result's name are replaced; other names, whatever they are, stay.
     """
     names = ("host", "path", "rule", "verdict", "decided_by", "good_mean", "good_bound")
     address = F.coalesce(named(url), F.lit(""))
-    seen = outcomes.select(host_of(address).alias("host"), F.col("good"))
+    seen = outcomes.select(site_of(host_of(address)).alias("host"), F.col("good"))
     rows = pages.select(packed(pages, url, *names), host_of(address).alias("host"), path_of(address).alias("path"))
-    known = reputation(seen).of(rows)
+    rows = rows.withColumn("site", site_of(F.col("host")))
+    known = reputation(seen, suffixes).of(rows.select(F.col("site").alias("host"))).withColumnRenamed("host", "site")
     rule, decided = rule_of(F.col("host"), F.col("path"), rules)
-    out = rows.join(known, "host", "left").withColumns({"rule": rule, "good_bound": F.col("host_mean") + WIDTH * F.col("host_sd")})
+    out = rows.join(known, "site", "left").withColumns({"rule": rule, "good_bound": F.col("host_mean") + WIDTH * F.col("host_sd")})
     own = F.when(F.col("good_bound") < least_good, "block").otherwise("allow")
     by = F.when(F.col("rule").isNotNull(), "rule").otherwise(F.col("level"))
     return out.select("own.*", "host", "path", "rule", F.coalesce(decided, own).alias("verdict"), by.alias("decided_by"), F.col("host_mean").alias("good_mean"), "good_bound")
