@@ -119,7 +119,7 @@ class EvenOddWilson:
         return apply
 
 
-def numbers(b: Blocks, **pairs: tuple[str, str]) -> dict[str, complex]:
+def numbers(b: Blocks, /, **pairs: tuple[str, str]) -> dict[str, complex]:
     """Several inner products of fields in one pass and one row."""
     reads = tuple(dict.fromkeys(n for p in pairs.values() for n in p))
 
@@ -132,7 +132,7 @@ def numbers(b: Blocks, **pairs: tuple[str, str]) -> dict[str, complex]:
     return {k: complex(s[2 * j], s[2 * j + 1]) for j, k in enumerate(pairs)}
 
 
-def update(b: Blocks, **sums: dict[str, complex]) -> Blocks:
+def update(b: Blocks, /, **sums: dict[str, complex]) -> Blocks:
     """New fields as linear combinations of the old ones, in a table that replaces theirs."""
     shape = {n: b.shapes[next(iter(p))] for n, p in sums.items()}
     reads = tuple(dict.fromkeys(m for p in sums.values() for m in p))
