@@ -33,9 +33,12 @@ def ngrams(words: str, least: int, most: int) -> Column:
     """All runs of least to most words of a column of word arrays, joined by one space."""
     if least == most == 1:
         return F.col(words)
-    none = F.array().cast("array<string>")
-    runs = [F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i, n=n: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(none) for n in range(least, most + 1)]
-    return F.concat(*runs)
+
+    def runs(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
+        return F.when(F.size(words) >= n, each).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[runs(n) for n in range(least, most + 1)])
 
 
 def bucket_of(feature: Column, buckets: int) -> Column:
