@@ -71,7 +71,8 @@ EPSILON = tuple((p, 1 if p in ((0, 1, 2), (1, 2, 0), (2, 0, 1)) else -1) for p i
 def baryon(lat: Lattice, quarks: tuple[str, str, str], diquark: np.ndarray, parity: np.ndarray, time: int) -> DataFrame:
     """Baryon two-point function of three color-spin propagators (12 x 12, spin outer), by numpy contraction in Arrow batches.
 
-    eps eps' tr[P q1] tr[q2 G q3^T G~] less the exchange of the first two quarks, summed
+    eps eps' tr[P q1] tr[q2 G q3^T G~] less the exchange of the first two quarks, whose ends
+    at the source keep their colors; summed
     over space per time slice; partial sums leave each batch, not sites.
     """
     eps = np.zeros((3, 3, 3))
@@ -92,7 +93,7 @@ def baryon(lat: Lattice, quarks: tuple[str, str, str], diquark: np.ndarray, pari
             # q[n, s, c, s', c']: sink spin and color, source spin and color.
             pair = np.einsum("abc,def,ij,niakd,njble,kl->ncf", eps, eps, diquark, q2, q3, bar, optimize=True)
             direct = np.einsum("ncf,nscuf,us->n", pair, q1, parity, optimize=True)
-            cross = np.einsum("abc,def,ij,niaud,njbke,kl,nsclf,us->n", eps, eps, diquark, q1, q3, np.eye(4), np.einsum("nsclf,lm->nscmf", q2, bar), parity, optimize=True)
+            cross = np.einsum("abc,def,ij,niauf,njbke,nsckd,us->n", eps, eps, diquark, q1, q3, np.einsum("nscld,lk->nsckd", q2, bar), parity, optimize=True)
             v = direct - cross
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v.real), pa.array(v.imag)], names=["t", "re", "im"])
 

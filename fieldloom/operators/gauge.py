@@ -7,6 +7,8 @@ and each product is a chain of staged matrix multiplications in columns.
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -126,20 +128,12 @@ def staple_paths(mu: int, nu: int, d: int) -> dict[str, tuple[Path, tuple[int, .
     return {f"up{nu}": ((nu, back(mu), back(nu)), end), f"down{nu}": ((back(nu), back(mu), nu), end)}
 
 
-def staple(lat: Lattice, mu: int, out: str = "staple") -> Lattice:
-    """Sum of all staples of the links in direction mu."""
-    d = len(lat.grid.dims)
-    paths = {n: p for nu in range(d) if nu != mu for n, p in staple_paths(mu, nu, d).items()}
-    got = products(lat, paths)
-    total = None
-    for n in paths:
-        total = got.t(n) if total is None else total + got.t(n)
-    return got.put(**{out: total}).keep(*lat.shapes, out)
+def _all_staples(mu: int, d: int) -> dict[str, tuple[Path, tuple[int, ...]]]:
+    return {n: p for nu in range(d) if nu != mu for n, p in staple_paths(mu, nu, d).items()}
 
 
-def rectangle_staple(lat: Lattice, mu: int, out: str = "rect_staple") -> Lattice:
-    """Sum of all staples of 2 x 1 rectangles through the links in direction mu."""
-    d = len(lat.grid.dims)
+def _all_rectangles(mu: int, d: int) -> dict[str, tuple[Path, tuple[int, ...]]]:
+    """The staples of 2 x 1 rectangles through a link, three to each side of it in each plane."""
     end = tuple(int(k == mu) for k in range(d))
     paths = {}
     for nu in (k for k in range(d) if k != mu):
@@ -150,11 +144,24 @@ def rectangle_staple(lat: Lattice, mu: int, out: str = "rect_staple") -> Lattice
                 f"r{tag}b": ((s, back(mu), back(mu), t, mu), end),
                 f"r{tag}c": ((s, s, back(mu), t, t), end),
             }
-    got = products(lat, paths)
-    total = None
-    for n in paths:
-        total = got.t(n) if total is None else total + got.t(n)
-    return got.put(**{out: total}).keep(*lat.shapes, out)
+    return paths
+
+
+def _summed(lat: Lattice, **sums: dict[str, tuple[Path, tuple[int, ...]]]) -> Lattice:
+    """Sums of path products as fields, all paths in one call of ``products``."""
+    got = products(lat, {n: p for paths in sums.values() for n, p in paths.items()})
+    totals = {out: reduce(operator.add, [got.t(n) for n in paths]) for out, paths in sums.items()}
+    return got.put(**totals).keep(*dict.fromkeys([*lat.shapes, *sums]))
+
+
+def staple(lat: Lattice, mu: int, out: str = "staple") -> Lattice:
+    """Sum of all staples of the links in direction mu."""
+    return _summed(lat, **{out: _all_staples(mu, len(lat.grid.dims))})
+
+
+def rectangle_staple(lat: Lattice, mu: int, out: str = "rect_staple") -> Lattice:
+    """Sum of all staples of 2 x 1 rectangles through the links in direction mu."""
+    return _summed(lat, **{out: _all_rectangles(mu, len(lat.grid.dims))})
 
 
 def clover(lat: Lattice, mu: int, nu: int, out: str = "f") -> Lattice:
@@ -266,8 +273,9 @@ def shift_staple(lat: Lattice, name: str, mu: int, out: str = "shifted") -> Latt
 
 
 def staple_and_rectangle(lat: Lattice, mu: int, out: str = "staple", out_rectangle: str = "rect_staple") -> Lattice:
-    """Plaquette and rectangle staples of a direction."""
-    return rectangle_staple(staple(lat, mu, out), mu, out_rectangle)
+    """Plaquette and rectangle staples of a direction; their paths share displaced links and one call of ``products``."""
+    d = len(lat.grid.dims)
+    return _summed(lat, **{out: _all_staples(mu, d), out_rectangle: _all_rectangles(mu, d)})
 
 
 def clover_leaf(lat: Lattice, mu: int, nu: int, m: int, n: int, out: str = "f") -> Lattice:

@@ -267,16 +267,24 @@ def arnoldi(a: Operator, lat: Lattice, b: str, steps: int) -> tuple[Lattice, np.
     return lat, h, norm
 
 
-def gmres(a: Operator, lat: Lattice, b: str, x: str = "x", steps: int = 10) -> Solution:
-    """One cycle of GMRES: the small least-squares problem is solved on the driver."""
+def gmres(a: Operator, lat: Lattice, b: str, x: str = "x", steps: int = 10, tol: float = 1e-8, most: int = 50) -> Solution:
+    """GMRES restarted after ``steps``, for any A; the residuals listed are true ones, one a cycle.
+
+    The small least-squares problem of a cycle is solved on the driver.
+    """
     own = list(lat.shapes)
-    lat, h, norm = arnoldi(a, lat, b, steps)
-    n = h.shape[1]
-    e = np.zeros(h.shape[0], dtype=complex)
-    e[0] = norm
-    y = np.linalg.lstsq(h, e, rcond=None)[0]
-    lat = combine(lat, **{x: {f"__v{k}": y[k] for k in range(n)}})
-    return Solution(lat.keep(*dict.fromkeys([*own, x])).cut(), [norm**2, float(np.linalg.norm(h @ y - e) ** 2)])
+    lat = combine(lat, **{x: {b: 0.0}, "__r": {b: 1.0}}).cut()
+    history = [dots(lat, [("__r", "__r")])[0].real]
+    goal = tol * tol * history[0]
+    while history[-1] > goal and len(history) <= most:
+        lat, h, norm = arnoldi(a, lat, "__r", steps)
+        e = np.zeros(h.shape[0], dtype=complex)
+        e[0] = norm
+        y = np.linalg.lstsq(h, e, rcond=None)[0]
+        lat = combine(lat, **{x: {x: 1.0} | {f"__v{k}": y[k] for k in range(h.shape[1])}}).keep(*dict.fromkeys([*own, x]))
+        lat = combine(a(lat, x, "__ax"), __r={b: 1.0, "__ax": -1.0}).keep(*dict.fromkeys([*own, x]), "__r").cut()
+        history.append(dots(lat, [("__r", "__r")])[0].real)
+    return Solution(lat.keep(*dict.fromkeys([*own, x])), history, goal)
 
 
 def lanczos(a: Operator, lat: Lattice, b: str, steps: int, vectors: int = 0) -> tuple[np.ndarray, Lattice]:
@@ -289,20 +297,6 @@ def lanczos(a: Operator, lat: Lattice, b: str, steps: int, vectors: int = 0) ->
     return values, lat.keep(*own, *[f"e{i}" for i in range(vectors)]).cut()
 
 
-def restarted_lanczos(a: Operator, lat: Lattice, b: str, wanted: int, steps: int, tol: float = 1e-8, most: int = 20) -> tuple[np.ndarray, Lattice]:
-    """The lowest eigenpairs by Lanczos with explicit restarts from the wanted Ritz vectors' sum."""
-    own = list(lat.shapes)
-    for _ in range(most):
-        values, lat = lanczos(a, lat, b, steps, wanted)
-        last = a(lat, f"e{wanted - 1}", "__t")
-        last = combine(last, __t={"__t": 1.0, f"e{wanted - 1}": -values[wanted - 1]})
-        if dots(last, [("__t", "__t")])[0].real < tol * tol:
-            break
-        lat = combine(lat, __b={f"e{i}": 1.0 for i in range(wanted)}).keep(*own, *[f"e{i}" for i in range(wanted)], "__b").cut()
-        b = "__b"
-    return values[:wanted], lat.keep(*own, *[f"e{i}" for i in range(wanted)])
-
-
 def power_method(a: Operator, lat: Lattice, b: str, steps: int) -> float:
     """Rayleigh quotient after a number of normalised applications."""
     lat = combine(lat, __v={b: 1.0})

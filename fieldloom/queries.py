@@ -389,7 +389,7 @@ def solvers_agree(spark, sf_dir):
     lat, a = events_lattice(spark, sf_dir).keep("v").cut(), linear.massive(3, 20.0)
     runs = {
         "bicgstab": linear.bicgstab(a, lat, "v", tol=1e-4), "cg": linear.conjugate_gradient(a, lat, "v", tol=1e-4), "cr": linear.conjugate_residual(a, lat, "v", tol=1e-4),
-        "gcr": linear.gcr(a, lat, "v", tol=1e-4), "gmres": linear.gmres(a, lat, "v", steps=6), "mr": linear.minimal_residual(a, lat, "v", tol=1e-4),
+        "gcr": linear.gcr(a, lat, "v", tol=1e-4), "gmres": linear.gmres(a, lat, "v", steps=6, tol=1e-4), "mr": linear.minimal_residual(a, lat, "v", tol=1e-4),
     }
     return spark.createDataFrame([(n, bool(s.residuals[-1] <= 1e-6 * s.residuals[0])) for n, s in runs.items()], "solver string, converged boolean")
 
