@@ -82,7 +82,7 @@ def _su2_lattice(spark, sf_dir) -> Lattice:
 SU2_FOUND = "SELECT (vec_id % 10)::BIGINT AS x0, (vec_id // 10)::BIGINT AS x1, " + ", ".join(q(f"embedding[{16 + 2 * k + p + 1}]::DOUBLE", f"c{k}_{('re', 'im')[p]}", 4) for k in range(8) for p in (0, 1)) + " FROM embeddings"
 
 
-def _clover_schur(spark, sf_dir, kind: str, solver: str, mass: float = 1.5, csw: float = 1.0):
+def _clover_schur(spark, sf_dir, kind: str, solver: str, mass: float = 5.0, csw: float = 1.0):
     """The source is the clover matrix on site tables; the solve eliminates the odd sites on blocks."""
     links = ("u0", "u1")
     lat = gauge.clover(_su2_lattice(spark, sf_dir).cut(), 0, 1, "f01").cut()
