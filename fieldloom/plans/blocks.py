@@ -33,6 +33,8 @@ from fieldloom.plans.lineage import dealt_table, drop_table
 
 Arrays = dict[str, np.ndarray]
 Displacement = tuple[int, ...]
+#: By neighbouring block: label, displacement, places there and places here.
+Plan = dict[Displacement, list[tuple[str, Displacement, np.ndarray, np.ndarray]]]
 
 
 @dataclass(frozen=True)
@@ -106,6 +108,25 @@ class Geometry:
             out[tuple(int(k) for k in x)] = (source[mask], np.flatnonzero(mask))
         return out
 
+    def padded(self, depth: int) -> Geometry:
+        """A block with ``depth`` layers of sites around it as a lattice of its own; a dimension of one block gets none."""
+        if any(c > 1 and depth > b for c, b in zip(self.counts, self.block, strict=True)):
+            raise ValueError(f"{depth} layers reach beyond the next block of {self.block}")
+        size = tuple(b + 2 * depth * (c > 1) for c, b in zip(self.counts, self.block, strict=True))
+        return Geometry(size, size)
+
+    def layers(self, depth: int) -> dict[Displacement, tuple[np.ndarray, np.ndarray]]:
+        """By neighbouring block: sites there, and the places that they take in the padded block here."""
+        wide, size = self.padded(depth), np.array(self.block)[:, None]
+        at = wide.local - (np.array(wide.block)[:, None] - size) // 2
+        e = at // size
+        source = np.ravel_multi_index(tuple((at - e * size)[::-1]), self.block[::-1])
+        out = {}
+        for x in np.unique(e, axis=1).T:
+            mask = (e == x[:, None]).all(0)
+            out[tuple(int(k) for k in x)] = (source[mask], np.flatnonzero(mask))
+        return out
+
 
 @dataclass(frozen=True)
 class Site:
@@ -123,6 +144,18 @@ class Site:
         return self.geometry.subset(parity)
 
 
+@dataclass(frozen=True)
+class Within(Site):
+    """A padded block, as if it were a lattice of its own; coordinates are those of the whole lattice."""
+
+    outer: Geometry
+
+    def coordinate(self, mu: int, parity: int | None = None) -> np.ndarray:
+        g, o = self.geometry, self.outer
+        start = self.keys[:, mu, None] * o.block[mu] - (g.block[mu] - o.block[mu]) // 2
+        return (start + g.local[mu, g.subset(parity)]) % o.dims[mu]
+
+
 @dataclass(frozen=True)
 class Stencil:
     """before(fields, site) gives labels; wanted lists their displacements; after(fields, displaced, site) gives the results.
@@ -277,10 +310,10 @@ class Blocks:
         """Results of a function of each site's or block's own fields."""
         return self._with(self._udf(lambda x, site, _: fn(x, site), reads, results), results)
 
-    def messages(self, s: Stencil) -> DataFrame | None:
+    def messages(self, s: Stencil, plan: Plan | None = None) -> DataFrame | None:
         """(block, e, data): what each block is sent by its neighbours; None if no displacement leaves a block."""
         g, shapes, d = self.geometry, {n: self.shapes[n] for n in s.reads}, len(self.geometry.dims)
-        plan = _plan(g, s)
+        plan = _plan(g, s) if plan is None else plan
         others = [e for e in plan if any(e)]
         if not others:
             return None
@@ -298,6 +331,41 @@ class Blocks:
         to = [F.pmod(F.col(k) - F.get(F.array(*[F.lit(e[mu]) for e in others]), F.col("e")), F.lit(g.counts[mu])).cast("int").alias(k) for mu, k in enumerate(self.keys)]
         return sent.select(*to, "e", "data")
 
+    def _heard(self, sent: DataFrame | None) -> tuple[Blocks, list[Column]]:
+        """The blocks beside the messages that they are sent, and the column that holds them."""
+        if sent is None:
+            return self, []
+        got = sent.repartition(self.parts, *self.keys).groupBy(*self.keys).agg(F.sort_array(F.collect_list(F.struct("e", "data"))).alias("__got"))
+        return replace(self, df=self.df.join(got.select(*self.keys, F.col("__got.data").alias("__got")).hint("merge"), self.keys)), [F.col("__got")]
+
+    def wide(self, s: Stencil, depth: int) -> Blocks:
+        """The results of a stencil whose ``after`` sees its labels on the padded block, each by its name.
+
+        The layers come from all neighbours, corners included, in the one shuffle.  Labels
+        must live on all sites, and ``wanted`` is not read.
+        """
+        if not self.table:
+            return self.cut().wide(s, depth)
+        g, sites = self.geometry, self.geometry.padded(depth).sites
+        plan = {e: [(n, e, *places) for n in s.labels] for e, places in sorted(g.layers(depth).items())}
+        others = [e for e in plan if any(e)]
+        here, extra = self._heard(self.messages(s, plan))
+
+        def run(fields: Arrays, site: Site, more) -> Arrays:
+            rows, labels = len(site.keys), s.before(fields, site)
+            seen = {n: np.zeros((rows, sites, *shape.dims), complex) for n, shape in s.labels.items()}
+            for n, _, source, to in plan[(0,) * len(g.dims)]:
+                seen[n][:, to] = labels[n][:, source]
+            if others:
+                data, start = more[0].flatten().flatten().to_numpy(zero_copy_only=False).view(np.complex128).reshape(rows, -1), 0
+                for n, _, source, to in (x for e in others for x in plan[e]):
+                    size = len(source) * s.labels[n].size
+                    seen[n][:, to] = data[:, start : start + size].reshape(rows, len(source), *s.labels[n].dims)
+                    start += size
+            return s.after(fields, seen, site)
+
+        return here._with(here._udf(run, s.reads, s.results, extra), s.results, ["__got"])
+
     def stencil(self, s: Stencil, apart: bool = False) -> Blocks:
         """The results of a stencil beside the fields, in a plan whose one shuffle carries the messages.
 
@@ -308,11 +376,7 @@ class Blocks:
             return self.cut().stencil(s, apart)
         g, plan, zero = self.geometry, _plan(self.geometry, s), (0,) * len(self.geometry.dims)
         others = [e for e in plan if any(e)]
-        sent, here, extra = self.messages(s), self, []
-        if sent is not None:
-            got = sent.repartition(self.parts, *self.keys).groupBy(*self.keys).agg(F.sort_array(F.collect_list(F.struct("e", "data"))).alias("__got"))
-            here = replace(self, df=self.df.join(got.select(*self.keys, F.col("__got.data").alias("__got")).hint("merge"), self.keys))
-            extra = [F.col("__got")]
+        here, extra = self._heard(self.messages(s))
 
         def run(fields: Arrays, site: Site, more) -> Arrays:
             rows, labels = len(site.keys), {n: _complex(x) for n, x in s.before(fields, site).items()}
@@ -349,7 +413,17 @@ class Blocks:
         return out.view(complex).reshape(shape.dims)
 
 
-def _plan(g: Geometry, s: Stencil) -> dict[Displacement, list[tuple[str, Displacement, np.ndarray, np.ndarray]]]:
+def applied(s: Stencil, fields: Arrays, site: Site) -> Arrays:
+    """The results of a stencil on lattices of one block each, without Spark."""
+    labels, seen = s.before(fields, site), {}
+    for n, d in s.wanted:
+        ((source, to),) = site.geometry.pieces(d, None).values()
+        seen[n, d] = np.empty_like(labels[n])
+        seen[n, d][:, to] = labels[n][:, source]
+    return s.after(fields, seen, site)
+
+
+def _plan(g: Geometry, s: Stencil) -> Plan:
     """By neighbouring block e, in order: the label, displacement and places that its message holds."""
     out: dict[Displacement, list] = {}
     for n, d in s.wanted:
