@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fieldloom import more_queries as more
 from fieldloom import queries as base
 from fieldloom.functions.tensors import C, Tensor
-from fieldloom.operators import checkerboard, fermions, gauge, halo, krylov, linear, multigrid, sites
+from fieldloom.operators import checkerboard, coherence, fermions, gauge, halo, krylov, linear, multigrid, sites
 from fieldloom.plans.blocks import Blocks, Shape
 from fieldloom.plans.lattice import Grid, Lattice
 from fieldloom.queries import EV, HOPS, _stencil_sql, keys, parts, q, query, r
@@ -161,3 +161,35 @@ def lanczos_block(spark, sf_dir):
     b = Blocks.pack(lat, tuple(min(n, 10) for n in lat.grid.dims))
     got = krylov.block_lanczos(lambda s, o, shape: halo.laplacian(d, s, o, shape, 1.0), b, "s", tol=1e-4)
     return spark.createDataFrame([(round(float(got.values[0]), 3), round(float(got.values[-1]), 3))], "lowest double, highest double")
+
+
+@query(SU2_FOUND)
+def solve_ca_gmres(spark, sf_dir):
+    """The twisted Wilson operator, which is not hermitian, on SU(2) links; four applications an exchange."""
+    links = ["u0", "u1"]
+    lat = fermions.wilson(2, links, 1.0, twist=0.3)(_su2_lattice(spark, sf_dir), "psi", "b").keep(*links, "b")
+    b = Blocks.pack(lat, (10, 10))
+    got = krylov.ca_gmres(lambda s, o: halo.wilson(2, links, s, o, 2, 1.0, twist=0.3), b, "b", s=4, restart=16, tol=1e-7)
+    if not got.converged:
+        raise ArithmeticError("not converged")
+    return _cells(got.blocks.unpack("x"), "x", 4)
+
+
+@query(f"WITH m AS ({more._MODES.replace('SELECT DISTINCT', 'SELECT')}), o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM m) SELECT k::BIGINT AS k, round(v, 3) + 0.0 AS v FROM o WHERE k < 3")
+def lanczos_local_coherence(spark, sf_dir):
+    """The lowest modes, with multiplicity, of the covariant Laplacian on links that turn the embeddings' phases away.
+
+    Such links are a change of gauge, so the spectrum is that of the free operator.
+    """
+    lat, d = more._scalar(spark, sf_dir)
+    links = [f"u{mu}" for mu in range(d)]
+    angle = lat.t("f")[0, 0].re
+    lat = lat.put(g=Tensor([C(F.cos(angle), F.sin(angle))])).cut()
+    lat, names = lat.gather([("g", linear.unit(d, mu)) for mu in range(d)])
+    lat = lat.put(**{u: lat.t("g") * lat.t(names["g", linear.unit(d, mu)]).conj() for mu, u in enumerate(links)}).keep("f", *links)
+    lat = sites.random_fields(sites.random_fields(lat, 4, "uniform", "w"), 5, "uniform", "z")
+    lat = lat.put(s=Tensor([*lat.t("f").items, *lat.t("w").items, *lat.t("z").items], (1, 3))).keep("s", *links)
+    b = Blocks.pack(lat, (5, 5, next(n for n in (5, 4, 3, 2, 1) if lat.grid.dims[2] % n == 0)))
+    a = lambda s, o, shape: halo.covariant_laplacian(d, links, s, o, shape, 1.0)
+    got = coherence.local_coherence(a, b, "s", 4, 3, 4.0 * d + 1.0, degree=16, spare=3, tol=2e-3, fixed=b.keep(*links).cut())
+    return spark.createDataFrame([(k, round(float(v), 3) + 0.0) for k, v in enumerate(got.values)], "k long, v double")
