@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fieldloom import more_queries as more
 from fieldloom import queries as base
 from fieldloom.functions.tensors import C, Tensor
-from fieldloom.operators import checkerboard, coherence, fermions, gauge, halo, krylov, linear, multigrid, sites
+from fieldloom.operators import checkerboard, coherence, dynamics, fermions, gauge, halo, krylov, linear, multigrid, sites
 from fieldloom.plans.blocks import Blocks, Shape
 from fieldloom.plans.lattice import Grid, Lattice
 from fieldloom.queries import EV, HOPS, _stencil_sql, keys, parts, q, query, r
@@ -193,3 +193,13 @@ def lanczos_local_coherence(spark, sf_dir):
     a = lambda s, o, shape: halo.covariant_laplacian(d, links, s, o, shape, 1.0)
     got = coherence.local_coherence(a, b, "s", 4, 3, 4.0 * d + 1.0, degree=16, spare=3, tol=2e-3, fixed=b.keep(*links).cut())
     return spark.createDataFrame([(k, round(float(v), 3) + 0.0) for k, v in enumerate(got.values)], "k long, v double")
+
+
+@query(base.SQL["staple_u1"])
+def halo_gauge_force(spark, sf_dir):
+    """The plaquette action's force on all links; freed of its link, that of direction 0 is the staple."""
+    b = Blocks.pack(abelian_lattice(spark, sf_dir).keep(*LINKS), BLOCK)
+    b = b.stencil(dynamics.Plaquettes(3, 1, 1.0).stencil(LINKS, "f"))
+    b = b.local(lambda x, site: {"v": -np.conj(x["u0"]) * x["f"][:, :, 0]}, ("u0", "f"), {"v": Shape((1, 1))})
+    got = b.unpack("v")
+    return got.df.select(*keys(got), r(F.col("v_0_re")).alias("re"), r(F.col("v_0_im")).alias("im"))
