@@ -45,6 +45,16 @@ def column(x: Part) -> Column:
     return F.lit(float(x)) if _constant(x) else x
 
 
+def quotient(x: Part, d: Column) -> Column:
+    """x / d for d that is not negative, by the rules of floats: nothing fails where d is zero."""
+    return F.when(d == 0, column(x) * F.lit(float("inf"))).otherwise(column(x) / d)
+
+
+def log(x: Column) -> Column:
+    """The natural logarithm by the rules of floats: minus infinity at zero, not a number below."""
+    return F.when(x > 0, F.log(x)).when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan")))
+
+
 class C:
     """A complex number of two real parts, columns or constants."""
 
@@ -80,7 +90,7 @@ class C:
         """Quotient by a complex number."""
         n = self * o.conj()
         d = column(o.norm2())
-        return C(column(n.re) / d, column(n.im) / d)
+        return C(quotient(n.re, d), quotient(n.im, d))
 
     def conj(self) -> C:
         return C(self.re, _mul(-1, self.im))
@@ -277,7 +287,7 @@ class Tensor:
                 along = _dot(done, row)
                 row = [x - along * y for x, y in zip(row, done, strict=True)]
             size = F.sqrt(column(_dot(row, row).re))
-            rows.append([C(column(x.re) / size, column(x.im) / size) for x in row])
+            rows.append([C(quotient(x.re, size), quotient(x.im, size)) for x in row])
         return Tensor([x for row in rows for x in row], self.shape)
 
 
@@ -359,5 +369,5 @@ def project_on_sp(m: Tensor) -> Tensor:
             along = _dot(done, row)
             row = [x - along * y for x, y in zip(row, done, strict=True)]
         size = F.sqrt(column(_dot(row, row).re))
-        top.append([C(column(x.re) / size, column(x.im) / size) for x in row])
+        top.append([C(quotient(x.re, size), quotient(x.im, size)) for x in row])
     return Tensor([x for row in [*top, *map(image, top)] for x in row], m.shape)
