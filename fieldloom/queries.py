@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import predicates, spin
-from fieldloom.functions.tensors import C, Tensor, column, to_real, trace_index
+from fieldloom.functions.tensors import C, Tensor, column, log, to_real, trace_index
 from fieldloom.operators import contractions, evolution, fermions, fourier, gauge, linear, reductions, sites
 from fieldloom.plans.lattice import Grid, Lattice
 from fieldloom.sources import binary
@@ -112,7 +112,7 @@ def compare_ops(spark, sf_dir):
 def unary_math_realpart(spark, sf_dir):
     lat = events_lattice(spark, sf_dir)
     v = lat.t("v")[0, 0]
-    maps = {"abs": lambda x: F.abs(-x), "sqrt": F.sqrt, "sin": F.sin, "cos": F.cos, "log": F.log, "pow": lambda x: F.pow(x, F.lit(1.5))}
+    maps = {"abs": lambda x: F.abs(-x), "sqrt": F.sqrt, "sin": F.sin, "cos": F.cos, "log": log, "pow": lambda x: F.pow(x, F.lit(1.5))}
     e = C(F.lit(0.01) * v.re, F.lit(0.01) * v.im).exp()
     return lat.df.select(*keys(lat), *[r(column(v.real_map(f).re)).alias(f"{n}_re") for n, f in maps.items()], r(e.re).alias("exp_re"), r(e.im).alias("exp_im"))
 
