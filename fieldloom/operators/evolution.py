@@ -78,9 +78,7 @@ def ape_smear(lat: Lattice, alpha: float, steps: int, dims: list[int] | None = N
     """Links plus alpha times the staples, projected back to the group, a number of times."""
     dims = list(range(len(lat.grid.dims))) if dims is None else dims
     for _ in range(steps):
-        new = lat
-        for mu in dims:
-            new = gauge.staple(new, mu, f"__s{mu}")
+        new = gauge.staples(lat, dims)
         # The staple runs from the link's end to its start: its adjoint runs along the link.
         mixed = {mu: new.t(link(mu)).scale(1.0 - alpha) + new.t(f"__s{mu}").adj().scale(alpha / (2.0 * (len(lat.grid.dims) - 1))) for mu in dims}
         new = new.put(**{f"__m{mu}": m for mu, m in mixed.items()})
@@ -98,9 +96,7 @@ def stout_smear(lat: Lattice, rho: float, steps: int) -> Lattice:
 def _flowed(lat: Lattice, rho: float, steps: int) -> Lattice:
     d = len(lat.grid.dims)
     for _ in range(steps):
-        new = lat
-        for mu in range(d):
-            new = gauge.staple(new, mu, f"__s{mu}")
+        new = gauge.staples(lat, list(range(d)))
         new = new.put(**{f"__z{mu}": -force_direction(new.t(link(mu)), new.t(f"__s{mu}")) for mu in range(d)})
         lat = _turned(new, rho, {mu: f"__z{mu}" for mu in range(d)}).keep(*lat.shapes).cut()
     return lat
@@ -116,8 +112,7 @@ def wilson_flow(lat: Lattice, epsilon: float, steps: int, measure: Callable[[flo
     for k in range(steps):
         work = lat
         for stage, (now, before, first) in enumerate(FLOW_STAGES):
-            for mu in range(d):
-                work = gauge.staple(work, mu, f"__s{mu}")
+            work = gauge.staples(work, list(range(d)))
             work = work.put(**{f"__z{stage}_{mu}": -force_direction(work.t(link(mu)), work.t(f"__s{mu}")) for mu in range(d)})
             total = {}
             for mu in range(d):

@@ -118,7 +118,7 @@ def axpby_slices(lat: Lattice, f: str, a: float, b: float, s: int, s2: int, out:
     at = at.put(**{out: at.t(f).scale(a) + p.scale(b)})
     rest = combine(replace(lat, df=lat.df.filter(F.col(f"x{last}") != s)), **{out: {f: 1.0}})
     keep = [*lat.shapes, out]
-    return replace(rest.keep(*keep), df=rest.keep(*keep).df.unionByName(at.keep(*keep).df))
+    return replace(rest.keep(*keep), df=rest.keep(*keep).df.drop("__slab").unionByName(at.keep(*keep).df.drop("__slab")))
 
 
 def clover_wilson(d: int, links: Sequence[str], mass: float, csw: float, dagger: bool = False) -> Operator:

@@ -159,6 +159,12 @@ def staple(lat: Lattice, mu: int, out: str = "staple") -> Lattice:
     return _summed(lat, **{out: _all_staples(mu, len(lat.grid.dims))})
 
 
+def staples(lat: Lattice, dims: list[int], prefix: str = "__s") -> Lattice:
+    """The sums of all staples of several directions, their links gathered at once."""
+    d = len(lat.grid.dims)
+    return _summed(lat, **{f"{prefix}{mu}": {f"{n}_{mu}": p for n, p in _all_staples(mu, d).items()} for mu in dims})
+
+
 def rectangle_staple(lat: Lattice, mu: int, out: str = "rect_staple") -> Lattice:
     """Sum of all staples of 2 x 1 rectangles through the links in direction mu."""
     return _summed(lat, **{out: _all_rectangles(mu, len(lat.grid.dims))})

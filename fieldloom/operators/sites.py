@@ -44,18 +44,19 @@ def pick_parity(lat: Lattice, parity: int) -> Lattice:
 
 def set_parity(even: Lattice, odd: Lattice) -> Lattice:
     """The full lattice of its two halves."""
-    return replace(even, df=even.df.unionByName(odd.df))
+    return replace(even, df=even.df.drop("__slab").unionByName(odd.df.drop("__slab")))
 
 
 def extract_slice(lat: Lattice, mu: int, at_: int) -> Lattice:
     """The hyperplane x_mu = at_ as a lattice of one dimension less."""
     left = [k for k in range(len(lat.grid.dims)) if k != mu]
-    df = lat.df.filter(F.col(f"x{mu}") == at_).drop(f"x{mu}").withColumnsRenamed({f"x{k}": f"__x{i}" for i, k in enumerate(left)})
+    df = lat.df.filter(F.col(f"x{mu}") == at_).drop(f"x{mu}", "__slab").withColumnsRenamed({f"x{k}": f"__x{i}" for i, k in enumerate(left)})
     return Lattice(df.withColumnsRenamed({f"__x{i}": f"x{i}" for i in range(len(left))}), Grid(tuple(lat.grid.dims[k] for k in left)), lat.shapes)
 
 
 def insert_slice(lat: Lattice, low: Lattice, mu: int, at_: int) -> Lattice:
     """lat with the hyperplane x_mu = at_ replaced."""
+    lat = replace(lat, df=lat.df.drop("__slab"))
     left = [k for k in range(len(lat.grid.dims)) if k != mu]
     df = low.df.withColumnsRenamed({f"x{i}": f"__x{k}" for i, k in enumerate(left)}).withColumnsRenamed({f"__x{k}": f"x{k}" for k in left})
     df = df.withColumn(f"x{mu}", F.lit(at_)).select(*lat.df.columns)
@@ -71,6 +72,7 @@ def in_box(low: tuple[int, ...], size: tuple[int, ...]) -> Column:
 
 def copy_region(source: Lattice, to: Lattice, source_low: tuple[int, ...], to_low: tuple[int, ...], size: tuple[int, ...]) -> Lattice:
     """``to`` with a box replaced by a box of ``source``."""
+    to = replace(to, df=to.df.drop("__slab"))
     part = source.df.filter(in_box(source_low, size)).withColumns({f"x{k}": (F.col(f"x{k}") + (b - a)).cast("int") for k, (a, b) in enumerate(zip(source_low, to_low, strict=True))})
     return replace(to, df=to.df.filter(~in_box(to_low, size)).unionByName(part.select(*to.df.columns)))
 
@@ -139,7 +141,7 @@ def export_array(lat: Lattice, name: str):
 
 def replicate(coarse: Lattice, grid: Grid) -> Lattice:
     """The coarse field tiled periodically over a larger grid: one row becomes its images."""
-    df = coarse.df
+    df = coarse.df.drop("__slab")
     for k, (n, m) in enumerate(zip(grid.dims, coarse.grid.dims, strict=True)):
         df = df.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(n // m - 1)))).withColumn(f"x{k}", (F.col(f"x{k}") + F.col("__r") * m).cast("int")).drop("__r")
     return Lattice(df, grid, coarse.shapes)

@@ -4,6 +4,9 @@ A lattice's key is its coordinates x0, x1, ...; a field ``name`` of complex comp
 the columns name_0_re, name_0_im, name_1_re, ...  Conformable arithmetic is a projection.
 A shift is a change of key; several shifts at once (a stencil) are one explode over the
 offsets and one aggregation by the new key, whatever the number of offsets.
+
+A large lattice that is cut is dealt by slabs of its last dimension, and stays so from cut
+to cut: a stencil then moves only the rows that leave their slab.
 """
 
 from __future__ import annotations
@@ -17,6 +20,10 @@ from pyspark.sql import functions as F
 from fieldloom.functions.tensors import C, Tensor, column
 
 
+#: Sites from which a cut deals a lattice by slabs, about so many sites to a slab and so many to a partition at most.
+DEALT_FROM, SLAB, PARTITION = 200_000, 10_000, 100_000
+
+
 @dataclass(frozen=True)
 class Grid:
     """Extents of a periodic grid; dimension 0 runs fastest."""
@@ -52,17 +59,27 @@ class Grid:
     def parity(self) -> Column:
         return F.pmod(sum((F.col(k) for k in self.keys), F.lit(0)), F.lit(2))
 
+    def slab(self) -> Column:
+        """The slab of a row: a few neighbouring slices of the last dimension."""
+        n = self.dims[-1]
+        depth = max(1, SLAB * n // max(self.volume, 1))
+        return F.floor(F.col(self.keys[-1]) / depth).cast("int")
+
     def moved(self, mu: int, by: int | Column) -> Column:
         return F.pmod(F.col(f"x{mu}") + by, F.lit(self.dims[mu])).cast("int")
 
 
 @dataclass(frozen=True)
 class Lattice:
-    """Fields (name -> shape) in the columns of one table over a grid."""
+    """Fields (name -> shape) in the columns of one table over a grid.
+
+    Rows that are ``dealt`` lie by the column __slab, fresh from a cut.
+    """
 
     df: DataFrame
     grid: Grid
     shapes: dict[str, tuple[int, int]] = field(default_factory=dict)
+    dealt: bool = False
 
     @staticmethod
     def coordinates(spark: SparkSession, grid: Grid) -> Lattice:
@@ -89,7 +106,8 @@ class Lattice:
 
     def keep(self, *names: str) -> Lattice:
         cols = [c for n in names for c in self.columns(n)]
-        return replace(self, df=self.df.select(*self.grid.keys, *cols), shapes={n: self.shapes[n] for n in names})
+        slab = ["__slab"] if "__slab" in self.df.columns else []
+        return replace(self, df=self.df.select(*slab, *self.grid.keys, *cols), shapes={n: self.shapes[n] for n in names})
 
     def rename(self, old: str, new: str) -> Lattice:
         pairs = dict(zip(self.columns(old), [c.replace(old, new, 1) for c in self.columns(old)], strict=True))
@@ -97,11 +115,11 @@ class Lattice:
 
     def join(self, other: Lattice) -> Lattice:
         """Fields of both, by site: for fields that were born in different tables."""
-        return replace(self, df=self.df.join(other.df, self.grid.keys), shapes=self.shapes | other.shapes)
+        return Lattice(self.df.drop("__slab").join(other.df.drop("__slab"), self.grid.keys), self.grid, self.shapes | other.shapes)
 
     def shift(self, mu: int, by: int) -> Lattice:
         """All fields f with out(x) = f(x + by mu), periodic; a change of key without a shuffle."""
-        return replace(self, df=self.df.withColumn(f"x{mu}", self.grid.moved(mu, -by)))
+        return Lattice(self.df.drop("__slab").withColumn(f"x{mu}", self.grid.moved(mu, -by)), self.grid, self.shapes)
 
     def gather(self, wanted: Iterable[tuple[str, Sequence[int]]]) -> tuple[Lattice, dict]:
         """The lattice with fields at displaced sites beside its own; one shuffle in all.
@@ -128,13 +146,25 @@ class Lattice:
             names[(n, d)] = new
             shapes[new] = self.shapes[n]
             out += [F.max(F.when(F.col("__o.k") == k, F.col(c))).alias(c.replace(n, new, 1)) for c in self.columns(n)]
-        return Lattice(each.groupBy(*self.grid.keys).agg(*out), self.grid, shapes), names
+        if not self.dealt or "__slab" not in self.df.columns:
+            return Lattice(each.groupBy(*self.grid.keys).agg(*out), self.grid, shapes), names
+        # Rows that stay in their slab lie right; only the others move.
+        to = self.grid.slab()
+        stay = each.filter(F.col("__slab") == to)
+        leave = each.filter(F.col("__slab") != to).withColumn("__slab", to).repartition(self._parts(), "__slab")
+        return Lattice(stay.union(leave).groupBy("__slab", *self.grid.keys).agg(*out), self.grid, shapes), names
+
+    def _parts(self) -> int:
+        return max(int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions")), self.grid.volume // PARTITION)
 
     def cut(self) -> Lattice:
         """Lineage cut by a reliable checkpoint, for iterations."""
-        from fieldloom.plans.lineage import cut
+        from fieldloom.plans.lineage import cut, dealt_cut
 
-        return replace(self, df=cut(self.df))
+        if self.grid.volume < DEALT_FROM:
+            return replace(self, df=cut(self.df))
+        df = self.df if "__slab" in self.df.columns else self.df.withColumn("__slab", self.grid.slab()).repartition(self._parts(), "__slab")
+        return replace(self, df=dealt_cut(df), dealt=True)
 
 
 def _named(name: str, t: Tensor) -> list[tuple[str, Column]]:

@@ -25,6 +25,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt_cut(df: DataFrame) -> DataFrame:
+    """A cut that remembers by which columns rows are dealt; an adaptive plan does not tell."""
+    conf = df.sparkSession.conf
+    was = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.select("*"))  # planned afresh, without what was planned before
+    finally:
+        conf.set("spark.sql.adaptive.enabled", was)
+
+
 def dealt_table(df: DataFrame, keys: list[str], parts: int) -> tuple[DataFrame, str]:
     """df as a table in that folder, in ``parts`` buckets by keys, and its name.
 

@@ -62,4 +62,4 @@ def filled(lat: Lattice, rows: int, links: tuple[str, ...] = ()) -> Lattice:
     values = {f: Tensor.constant(np.eye(*shape) if f in links else np.zeros(shape)) for f, shape in lat.shapes.items()}
     cells = [column(x).alias(c) for f, t in values.items() for c, x in zip(lat.columns(f), (p for z in t.items for p in (z.re, z.im)), strict=True)]
     rest = lat.df.sparkSession.range(rows, lat.grid.volume, 1, 1)
-    return replace(lat, df=lat.df.unionByName(rest.select(*lat.grid.coordinates(F.col("id")), *cells)))
+    return replace(lat, df=lat.df.drop("__slab").unionByName(rest.select(*lat.grid.coordinates(F.col("id")), *cells)))
