@@ -1,7 +1,7 @@
 """Discrete Fourier transforms along dimensions of a lattice.
 
-Each line of sites along a dimension is one group, whose length is the grid's extent and
-not the data's size; the transform of a line is numpy's.  Forward is unnormalised with
+A group holds whole lines of sites, as many as fit a fixed size, and at least one, whose
+length is the grid's extent; the transform of its lines is numpy's.  Forward is unnormalised with
 sign -1, backward divides by the extent.
 """
 
@@ -16,33 +16,49 @@ from fieldloom.functions.tensors import C, Tensor
 from fieldloom.plans.lattice import Lattice
 
 
-def fft_dim(lat: Lattice, name: str, mu: int, backward: bool = False) -> Lattice:
-    """One field transformed along one dimension."""
-    keys, cols = lat.grid.keys, lat.columns(name)
-    rest = [k for k in keys if k != f"x{mu}"]
-    df = lat.keep(name).df
+#: Sites to a group of lines at most, unless one line is longer.
+GROUP = 50_000
 
-    def line(t: pa.Table) -> pa.Table:
-        t = t.sort_by(f"x{mu}")
+
+def _lines(lat: Lattice, name: str, dims: list[int], backward: bool = False) -> Lattice:
+    """One field transformed along some dimensions at once; many lines (planes, ...) lie in one group."""
+    keys, cols = lat.grid.keys, lat.columns(name)
+    rest = [k for k in range(len(keys)) if k not in dims]
+    size, line = [lat.grid.dims[k] for k in dims[::-1]], F.lit(0).cast("long")
+    for k in rest[::-1]:
+        line = line * lat.grid.dims[k] + F.col(keys[k])
+    df = lat.keep(name).df.select(*keys, *cols)
+    schema = df.schema
+    order = [f"x{k}" for k in [*dims, *rest]]
+    f = np.fft.ifftn if backward else np.fft.fftn
+
+    def group(t: pa.Table) -> pa.Table:
+        t = t.take(pa.array(np.lexsort([t.column(k).to_numpy() for k in order])))
         out = {k: t.column(k) for k in keys}
         for a, b in zip(cols[::2], cols[1::2], strict=True):
             z = t.column(a).to_numpy() + 1j * t.column(b).to_numpy()
-            z = np.fft.ifft(z) if backward else np.fft.fft(z)
+            z = f(z.reshape(-1, *size), axes=range(1, len(size) + 1)).ravel()
             out |= {a: pa.array(z.real), b: pa.array(z.imag)}
         return pa.table(out)
 
-    if not rest:
-        df, rest = df.withColumn("__g", F.lit(0)), ["__g"]
-    done = df.groupBy(*rest).applyInArrow(line, lat.keep(name).df.schema)
+    together = max(1, GROUP // int(np.prod(size)))
+    done = df.withColumn("__g", F.floor(line / together)).groupBy("__g").applyInArrow(group, schema)
     return Lattice(done, lat.grid, {name: lat.shapes[name]})
 
 
+def fft_dim(lat: Lattice, name: str, mu: int, backward: bool = False) -> Lattice:
+    """One field transformed along one dimension."""
+    return _lines(lat, name, [mu], backward)
+
+
 def fft(lat: Lattice, name: str, dims: list[int] | None = None, backward: bool = False) -> Lattice:
-    """All dimensions, or a mask of them, one after another."""
-    out = lat.keep(name)
+    """All dimensions, or a mask of them: as many at once as fit a group, one shuffle for each such set."""
+    out, now = lat.keep(name), []
     for mu in range(len(lat.grid.dims)) if dims is None else dims:
-        out = fft_dim(out, name, mu, backward)
-    return out
+        if now and np.prod([lat.grid.dims[k] for k in [*now, mu]]) > GROUP:
+            out, now = _lines(out, name, now, backward), []
+        now.append(mu)
+    return _lines(out, name, now, backward) if now else out
 
 
 def momentum(lat: Lattice, mu: int) -> Column:

@@ -105,11 +105,11 @@ def domain_mask(lat: Lattice, name: str, block: tuple[int, ...], depth: int, out
 
 
 def split(lat: Lattice, names: list[str], out: str = "f") -> DataFrame:
-    """N fields of one grid as rows (k, site, field): each k is a lattice of its own, dealt by k."""
+    """N fields of one grid as rows (k, site, field): each k is a lattice of its own, dealt by slices of its last dimension."""
     shape = lat.shapes[names[0]]
     parts = Lattice(lat.df, lat.grid, {out: shape}).columns(out)
     one = [F.struct(F.lit(k).alias("k"), *[F.col(c).alias(o) for c, o in zip(lat.columns(n), parts, strict=True)]) for k, n in enumerate(names)]
-    return lat.df.select(*lat.grid.keys, F.explode(F.array(*one)).alias("x")).select("x.k", *lat.grid.keys, *[f"x.{o}" for o in parts]).repartition("k")
+    return lat.df.select(*lat.grid.keys, F.explode(F.array(*one)).alias("x")).select("x.k", *lat.grid.keys, *[f"x.{o}" for o in parts]).repartition("k", lat.grid.keys[-1])
 
 
 def unsplit(rows: DataFrame, grid: Grid, names: list[str], shape: tuple[int, int], field: str = "f") -> Lattice:
