@@ -39,18 +39,23 @@ def covariant_laplacian(d: int, links: Sequence[str], source: str, out: str, sha
     """mass2 f + sum over mu of 2 f - U f(x + mu) - U† f(x - mu), on color vectors or matrices."""
 
     def before(x: Arrays, site: Site) -> Arrays:
-        return {"f": x[source]} | {f"b{mu}": dagger(x[u]) @ x[source] for mu, u in enumerate(links)}
+        return {"f": x[source]} | {f"b{mu}": times(dagger(x[u]), x[source]) for mu, u in enumerate(links)}
 
     def after(x: Arrays, seen, site: Site) -> Arrays:
         total = (2.0 * d + mass2) * x[source]
         for mu, u in enumerate(links):
-            total = total - x[u] @ seen["f", unit(d, mu)] - seen[f"b{mu}", unit(d, mu, -1)]
+            total = total - times(x[u], seen["f", unit(d, mu)]) - seen[f"b{mu}", unit(d, mu, -1)]
         return {out: total}
 
     wanted = tuple(w for mu in range(d) for w in (("f", unit(d, mu)), (f"b{mu}", unit(d, mu, -1))))
     return Stencil((source, *links), {"f": shape} | {f"b{mu}": shape for mu in range(d)}, wanted, before, after, {out: shape})
 
 
+def times(u: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The product of matrices at each site; that of single numbers needs no loop over sites."""
+    return u * x if u.shape[-2:] == (1, 1) else u @ x
+
+
 def halves(mu: int, sign: int) -> tuple[np.ndarray, np.ndarray]:
     """1 + sign gamma_mu as reconstruction (4 x 2) times projection (2 x 4)."""
     p = projector(mu, sign)
@@ -92,10 +97,11 @@ def wilson(d: int, links: Sequence[str], source: str, out: str, colors: int, mas
     return wilson_hop(d, links, source, out, colors, dag, None, then, (source,))
 
 
-def fused(s: Stencil, update: Callable[[Arrays], Arrays], fields: dict[str, Shape], numbers: Callable[[Arrays], dict[str, np.ndarray]], reads: Sequence[str] = (), own: bool = True) -> Stencil:
+def fused(s: Stencil, update: Callable[[Arrays], Arrays], fields: dict[str, Shape], numbers: Callable[[Arrays], dict[str, np.ndarray]], reads: Sequence[str] = (), own: bool = True, idle: Sequence[str] = ()) -> Stencil:
     """A stencil on fields that are brought up to date first; both and the numbers of a block are results.
 
     The update sees the fields, those named in reads, and with ``own`` the stencil's results as they were.
+    Fields that are ``idle`` have no part in what is sent: there the update may not find them.
     """
     reads = tuple(dict.fromkeys([*fields, *s.reads, *reads, *(s.results if own else ())]))
 
@@ -105,7 +111,7 @@ def fused(s: Stencil, update: Callable[[Arrays], Arrays], fields: dict[str, Shap
         return got | numbers(x | got)
 
     names = numbers({n: np.zeros((0, *sh.dims)) for n, sh in (fields | s.results).items()})
-    return Stencil(reads, s.labels, s.wanted, lambda x, site: s.before(x | update(x), site), after, fields | s.results | dict.fromkeys(names, Shape()))
+    return Stencil(reads, s.labels, s.wanted, lambda x, site: s.before(x | update(x), site), after, fields | s.results | dict.fromkeys(names, Shape()), tuple(n for n in reads if n not in idle))
 
 
 def conjugate_gradient(a: Callable[[str, str], Stencil], b: Blocks, source: str, fixed: Blocks | None = None, x: str = "x", tol: float = 1e-8, most: int = 1000) -> tuple[Blocks, list[float], bool]:
@@ -128,10 +134,11 @@ def conjugate_gradient(a: Callable[[str, str], Stencil], b: Blocks, source: str,
 
         def update(v: Arrays, alpha=alpha, beta=beta) -> Arrays:
             r = v["r"] - alpha * v["q"]
-            return {x: v[x] + alpha * v["p"], "r": r, "p": r + beta * v["p"] if alpha else v["p"]}
+            moved = {x: v[x] + alpha * v["p"]} if x in v else {}
+            return moved | {"r": r, "p": r + beta * v["p"] if alpha else v["p"]}
 
         here = state.join(fixed) if fixed is not None else state
-        old, state = state, here.stencil(fused(a("p", "q"), update, fields, numbers)).keep(x, "r", "p", "q", *names).cut()
+        old, state = state, here.stencil(fused(a("p", "q"), update, fields, numbers, idle=(x,))).keep(x, "r", "p", "q", *names).cut()
         rr, pq, rq, qq = state.sums(*names)
         history.append(rr)
         goal = goal or tol * tol * rr

@@ -44,7 +44,7 @@ def dealt_table(df: DataFrame, keys: list[str], parts: int) -> tuple[DataFrame,
     other side.
     """
     spark, name = df.sparkSession, f"dealt_{uuid.uuid4().hex}"
-    writer = df.write.format("parquet").bucketBy(parts, *keys).option("path", f"{checkpoint_dir(spark)}/{name}").option("compression", "none")
+    writer = df.write.format("parquet").bucketBy(parts, *keys).option("path", f"{checkpoint_dir(spark)}/{name}").option("compression", "none").option("parquet.enable.dictionary", "false")
     writer.saveAsTable(name)
     return spark.table(name), name
 
